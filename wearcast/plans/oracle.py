@@ -10,7 +10,7 @@ arithmetic sneaks in.
 from __future__ import annotations
 
 from ..functions.formulas import QK
-from ..config import (CORE_SENSORS, CURRENT_SENSOR, ELONG_SENSOR, FIXTURE_BELTS, MODEL_FEATURES,
+from ..config import (CORE_SENSORS, CURRENT_SENSOR, ELONG_SENSOR, FIXTURE_BELTS, MODEL_FEATURES, SHORT,
                       TEMP_SENSOR, Thresholds, internal_feature_name)
 
 TH = Thresholds()
@@ -546,4 +546,127 @@ SELECT belt_id, n_normal, n_critical,
   n_normal + CASE WHEN n_normal > 0 AND n_critical > 0 THEN greatest(CAST(floor(n_normal / 2) AS BIGINT), n_critical)
     ELSE n_critical END AS n_train_balanced
 FROM g""").replace("\n\n, g AS", ",\ng AS").replace(")\n, g AS", "),\ng AS")
+    out.update(stream_oracles())
+    return out
+
+
+# --------------------------------------------------------------------------
+# streaming semantics (batch form)
+# --------------------------------------------------------------------------
+STREAM_FIELDS = (["v", "ord"] + [f"w{lbl}_{s}" for lbl in WINDOWS for s in ("mean", "std", "min", "max", "trend")]
+                 + ["util_1h", "util_6h", "high_share_6h", "lag719", "lag59", "lag4"])
+STREAM_COLS = ["temp_avg", "elong_avg", "curr_avg", "temp_1h_std", "elong_24h_mean", "curr_12h_max",
+               "utilization_1h", "current_percentile", "elong_rate_12h", "elong_delta_rate", "elong_micro_trend",
+               "elong_trend_6h", "temp_trend_24h", "elong_volatility_6h", "degradation_index", "failure_proximity",
+               "warning_count", "critical_count"]
+
+
+def stream_ctes() -> list[str]:
+    th = TH
+    wins = ",\n    ".join(
+        f"w{lbl} AS (PARTITION BY belt_id, sensorid ORDER BY ingest_seq ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+        for lbl, w in WINDOWS.items())
+    stats = []
+    for lbl in WINDOWS:
+        stats += [f"avg(v) OVER w{lbl} AS w{lbl}_mean",
+                  f"CASE WHEN count(*) OVER w{lbl} > 1 THEN stddev_pop(v) OVER w{lbl} ELSE 0.0 END AS w{lbl}_std",
+                  f"min(v) OVER w{lbl} AS w{lbl}_min", f"max(v) OVER w{lbl} AS w{lbl}_max",
+                  f"CASE WHEN count(*) OVER w{lbl} >= 2 THEN coalesce(regr_slope(v, ord) OVER w{lbl}, 0.0) ELSE 0.0 END"
+                  f" AS w{lbl}_trend"]
+    stats += [f"avg(CAST(v >= {D(th.idle_current)} AS INTEGER)) OVER w1h AS util_1h",
+              f"avg(CAST(v >= {D(th.idle_current)} AS INTEGER)) OVER w6h AS util_6h",
+              f"avg(CAST(v >= {D(th.high_load)} AS INTEGER)) OVER w6h AS high_share_6h",
+              "lag(v, 719) OVER wo AS lag719", "lag(v, 59) OVER wo AS lag59", "lag(v, 4) OVER wo AS lag4"]
+    pack = ", ".join(f"'{f}': {f}" for f in STREAM_FIELDS)
+    carry = ",\n    ".join(
+        f"last_value(CASE WHEN e.sensorid = '{s}' THEN sst END IGNORE NULLS) OVER wa AS {SHORT[s]}"
+        for s in CORE_SENSORS)
+    fields = []
+    for sh in ("temp", "elong", "curr"):
+        fields.append(f"{sh}.v AS {sh}_avg")
+        fields.append(f"{sh}.ord + 1 AS {sh}_cnt")
+        for lbl in WINDOWS:
+            for st in ("mean", "std", "min", "max"):
+                fields.append(f"{sh}.w{lbl}_{st} AS {sh}_{lbl}_{st}")
+    tw, tc = th.warn(TEMP_SENSOR), th.crit(TEMP_SENSOR)
+    ew, ec = th.warn(ELONG_SENSOR), th.crit(ELONG_SENSOR)
+    cw, cc = th.warn(CURRENT_SENSOR), th.crit(CURRENT_SENSOR)
+    tnorm = clip(f"elong_trend_6h / {D(0.03)}", 0, 2)
+    deg = clip(f"{D(0.55)} * {clip(f'elong_delta / {D(30)}', 0, 2)} + {D(0.30)} * {tnorm} + "
+               f"{D(0.15)} * {clip(f'elong_volatility_6h / {D(6)}', 0, 2)}", 0, 2)
+    return [READINGS, f"""
+ev AS (SELECT belt_id, sensorid, ts, avg_value AS v, ingest_seq FROM readings),
+cr0 AS (SELECT *, row_number() OVER (PARTITION BY belt_id, sensorid ORDER BY ingest_seq) - 1 AS ord
+        FROM ev WHERE sensorid IN ({CORE_LIST})),
+cr AS (
+  SELECT belt_id, sensorid, ingest_seq, v, ord,
+    {(","+chr(10)+"    ").join(stats)}
+  FROM cr0
+  WINDOW {wins},
+    wo AS (PARTITION BY belt_id, sensorid ORDER BY ingest_seq)),
+crs AS (SELECT belt_id, sensorid, ingest_seq, {{{pack}}} AS sst FROM cr),
+al AS (
+  SELECT e.belt_id, e.sensorid, e.ingest_seq, e.ts,
+    {carry}
+  FROM ev e LEFT JOIN crs c ON e.belt_id = c.belt_id AND e.sensorid = c.sensorid AND e.ingest_seq = c.ingest_seq
+  WINDOW wa AS (PARTITION BY e.belt_id ORDER BY e.ingest_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sf0 AS (
+  SELECT belt_id, sensorid, ingest_seq, ts, {", ".join(fields)},
+    curr.util_1h AS utilization_1h, curr.util_6h AS utilization_6h, curr.high_share_6h AS high_load_share_6h,
+    elong.lag719 AS e719, elong.lag59 AS e59, elong.lag4 AS e4,
+    elong.w1h_trend AS elong_trend_1h, elong.w6h_trend AS elong_trend_6h, elong.w24h_trend AS elong_trend_24h,
+    temp.w1h_trend AS temp_trend_1h, temp.w6h_trend AS temp_trend_6h, temp.w24h_trend AS temp_trend_24h
+  FROM al),
+sf1 AS (
+  SELECT *,
+    (curr_avg - curr_12h_min) / (curr_12h_max - curr_12h_min + {D(1e-6)}) * {D(100)} AS current_percentile,
+    coalesce(elong_avg - e719, 0.0) AS elong_rate_12h, elong_avg - {D(th.baseline_elong)} AS elong_delta,
+    coalesce(elong_avg - e59, 0.0) AS elong_delta_rate, coalesce(elong_avg - e4, 0.0) AS elong_micro_trend,
+    elong_6h_std AS elong_volatility_6h, curr_6h_std AS current_volatility_6h, temp_12h_std AS temp_variability_12h,
+    coalesce(elong_trend_1h - elong_trend_6h, 0.0) AS elong_accel_6h,
+    {clip(f'temp_avg - {D(th.baseline_temp)}', 0)} AS temp_above_baseline,
+    {_flag(f'temp_avg >= {D(tw)}')} + {_flag(f'elong_avg >= {D(ew)}')} + {_flag(f'curr_avg >= {D(cw)}')} AS warning_count,
+    {_flag(f'temp_avg >= {D(tc)}')} + {_flag(f'elong_avg >= {D(ec)}')} + {_flag(f'curr_avg >= {D(cc)}')} AS critical_count
+  FROM sf0
+  WHERE temp_cnt >= 30 AND elong_cnt >= 30 AND curr_cnt >= 30),
+sf2 AS (SELECT *, {deg} AS degradation_index FROM sf1),
+sfx AS (
+  SELECT *,
+    {clip(f'coalesce(degradation_index, 0.0) + {D(0.5)} * critical_count + {D(0.2)} * warning_count', 0, 5)} AS failure_proximity,
+    {clip(f"{D(th.baseline_rul_days)} * ({D(1)} - {clip(f'{D(0.15)} * coalesce(degradation_index, 0.0) + {D(0.05)} * warning_count', 0, 0.5)})", 0, th.baseline_rul_days)} AS s_rul
+  FROM sf2),
+sfa AS (
+  SELECT *, s_rul AS ml_rul_days, {D(100)} * (s_rul / {D(th.baseline_rul_days)}) AS ml_health,
+    {clip(f'coalesce(degradation_index, 0.0) * {D(2)}', 0, 5)} AS failure_risk_score
+  FROM sfx)"""]
+
+
+def stream_oracles() -> dict[str, str]:
+    out = {}
+    k = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+    out["normalize_events"] = f"""
+WITH r AS (SELECT *, {k} AS k FROM events),
+r2 AS (SELECT *, CASE WHEN k >= 50 THEN CAST(k AS DOUBLE) / {D(20)} ELSE {D(0)} END AS sd FROM r)
+SELECT CASE WHEN k >= 6 THEN 'belt-' || CAST(user_id % 4 AS VARCHAR) ELSE 'belt-1' END AS belt_id,
+  {SENSOR_CASE} AS sensorid, epoch_us(CAST(ts AS TIMESTAMP)) AS ts_us, value AS avg_value,
+  value - sd AS min_value, value + sd AS max_value, sd AS std_deviation, sd * sd AS variance, value AS median
+FROM r2
+WHERE event_type <> 'error' AND NOT (event_type = 'signup' AND k < 50)"""
+    ctes = stream_ctes()
+    sel = ", ".join(f"{q4(f'avg({c})')} AS {c}" for c in STREAM_COLS)
+    out["stream_features_batch_form"] = with_ctes(*ctes, body=f"""
+SELECT belt_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, {sel}
+FROM sfa GROUP BY belt_id, strftime(ts, '%Y-%m-%d')""")
+    risk, hband, rband = alert_case("ml_health", "ml_rul_days")
+    out["stream_alerts"] = with_ctes(*ctes, body=f"""
+SELECT belt_id, {risk} AS risk, {hband} AS health_band, {rband} AS rul_band, count(*) AS n,
+  {q4('avg(ml_health)')} AS ml_health, {q4('avg(ml_rul_days)')} AS ml_rul_days,
+  {q4('avg(failure_risk_score)')} AS failure_risk_score
+FROM sfa GROUP BY ALL""")
+    out["topic_routing"] = with_ctes(*ctes, body=f"""
+SELECT 'belt-raw-data' AS pipeline, belt_id, count(*) AS n FROM readings WHERE sensorid IN ({CORE_LIST}) GROUP BY belt_id
+UNION ALL
+SELECT 'belt-predictions' AS pipeline, belt_id, count(*) AS n FROM sfa GROUP BY belt_id""")
+    out["replay_rows"] = with_ctes(READINGS, body=f"""
+SELECT sensorid, epoch_us(ts) AS ts_us, avg_value FROM readings WHERE sensorid IN ({CORE_LIST})""")
     return out
