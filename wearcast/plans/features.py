@@ -182,14 +182,8 @@ def finalize(df: DataFrame, fill: bool = True) -> DataFrame:
     """SCA-21: +-inf/NaN -> null, forward then backward fill per belt, rest -> 0."""
     num = [f.name for f in df.schema.fields
            if f.dataType.typeName() in ("double", "float") and f.name not in ("mi",)]
-    df = df.withColumns({c: fx.finite_or_null(F.col(c)) for c in num})
-    if fill and num:
-        # one scan of the (materialised) table decides whether any value is
-        # missing at all; the fill pass only runs when it is needed
-        any_null = F.greatest(*[F.col(c).isNull().cast("int") for c in num]) if len(num) > 1 \
-            else F.col(num[0]).isNull().cast("int")
-        fill = df.where(any_null == 1).limit(1).count() > 0
     if fill:
+        df = df.withColumns({c: fx.finite_or_null(F.col(c)) for c in num})
         df = df.withColumn("_day", F.floor(F.col("mi") / DAY).cast("long"))
         df = forward_back_fill(df, KEYS, "mi", num, "_day").drop("_day")
     ints = [f.name for f in df.schema.fields if f.dataType.typeName() in ("integer", "long")
@@ -198,9 +192,25 @@ def finalize(df: DataFrame, fill: bool = True) -> DataFrame:
 
 
 def build_features(readings: DataFrame, spark: SparkSession, th: Thresholds | None = None,
-                   belts: list[BeltMeta] | None = None, fill: bool = True) -> DataFrame:
+                   belts: list[BeltMeta] | None = None, fill: bool = True,
+                   means: DataFrame | None = None) -> DataFrame:
+    """Whole batch feature job.  `means` (materialised minute bins) may be
+    passed in when another job already produced them."""
     th = th or Thresholds()
-    wide = wide_table(readings, th).withColumn("ts", minute_ts(F.col("mi")))
+    if means is None:
+        wide = wide_table(readings, th)
+    else:
+        wide = materialize(wide_grid(means))
+    if fill:
+        # Every feature formula is total on finite inputs, so missing or
+        # non-finite feature cells can only come from a non-finite sensor
+        # value in the (small, materialised) wide grid.  One scan of its
+        # three value columns decides whether the fill pass is needed.
+        bad = F.lit(False)
+        for c in ("temp_avg", "elong_avg", "curr_avg"):
+            bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+        fill = wide.where(bad).limit(1).count() > 0
+    wide = wide.withColumn("ts", minute_ts(F.col("mi")))
     df = rolling_features(wide, th)
     df = scalar_features(df, th, "batch")
     df = condition_features(df)

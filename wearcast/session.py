@@ -24,8 +24,10 @@ SESSION_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
-              app: str = "wearcast") -> SparkSession:
+              app: str = "wearcast", conf: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app)
+    for k, v in (conf or {}).items():
+        b = b.config(k, v)
     if master:
         b = b.master(master)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -45,18 +47,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     when it is unset (local tests) do we create a scratch folder, and we
     record it in the session so every later call agrees.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="wearcast-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
+
 
+def materialize(df, spark: SparkSession | None = None, name: str = "t"):
+    """Cut lineage at a fork point: write the table as Parquet into the
+    shared checkpoint folder and read it back.  Survives executor loss
+    (unlike localCheckpoint), and later readers prune columns and push
+    filters into the scan, which a serialized RDD checkpoint cannot do."""
+    import uuid
 
-def materialize(df, spark: SparkSession | None = None):
-    """Cut lineage at a fork point: reliable checkpoint into the shared
-    checkpoint folder (survives executor loss, unlike localCheckpoint)."""
     spark = spark or df.sparkSession
-    checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -147,10 +147,10 @@ def stream_safe_mode(df: DataFrame, th: Thresholds) -> DataFrame:
     })
 
 
-def enrich(df: DataFrame, th: Thresholds) -> DataFrame:
+def enrich(df: DataFrame, th: Thresholds, extra: list[str] | None = None) -> DataFrame:
     """ML-20 + STR-4: alert bands and the output record of one event."""
     a = alert_bands(df, th, "ml_health", "ml_rul_days")
-    return a.select("belt_id", "sensorid", "ts", "ingest_seq", "ml_health", "ml_rul_days", "risk", "health_band",
+    return a.select(*(extra or []),"belt_id", "sensorid", "ts", "ingest_seq", "ml_health", "ml_rul_days", "risk", "health_band",
                     "rul_band", "is_alert", F.col("is_critical_alert").alias("is_critical"),
                     F.col("is_warning_alert").alias("is_warning"), "confidence_level", "prediction_status",
                     "failure_risk_score", "early_failure_flag", "degradation_index")
@@ -165,20 +165,24 @@ def stream_features(spark: SparkSession, sf: str, th: Thresholds | None = None)
 
 def stream_alerts(spark: SparkSession, sf: str, th: Thresholds | None = None) -> DataFrame:
     th = th or Thresholds()
-    f = stream_features(spark, sf, th)
+    return stream_alerts_from(stream_features(spark, sf, th), th)
+
+
+def stream_alerts_from(f: DataFrame, th: Thresholds) -> DataFrame:
+    """Alert records with the unrounded health/RUL kept for checks (the
+    emitted stream record carries the 2-place rounded values)."""
     s = stream_safe_mode(f, th).withColumns({"_h": F.col("ml_health"), "_r": F.col("ml_rul_days")})
-    out = enrich(s, th)
-    return out.join(s.select("belt_id", "ingest_seq", "_h", "_r"), ["belt_id", "ingest_seq"]) \
-        .drop("ml_health", "ml_rul_days").withColumnRenamed("_h", "ml_health").withColumnRenamed("_r", "ml_rul_days")
+    out = enrich(s, th, extra=["_h", "_r"])
+    return out.drop("ml_health", "ml_rul_days").withColumnsRenamed({"_h": "ml_health", "_r": "ml_rul_days"})
 
 
-def topic_routing_counts(spark: SparkSession, sf: str) -> DataFrame:
+def topic_routing_counts(spark: SparkSession, sf: str, alerts: DataFrame | None = None) -> DataFrame:
     """SRC-5 + SNK-3: raw readings and predictions tagged by topic, then
     routed per tag; counted per (pipeline, belt)."""
     from ..sources.stream import tag_pipeline
 
     raw = read_events_as_readings(spark, sf).where(F.col("sensorid").isin(CORE_SENSORS)).select(
         F.lit("belt-data").alias("topic"), "belt_id")
-    preds = stream_alerts(spark, sf).select(F.lit("belt-predictions").alias("topic"), "belt_id")
+    preds = (alerts if alerts is not None else stream_alerts(spark, sf)).select(F.lit("belt-predictions").alias("topic"), "belt_id")
     both = tag_pipeline(raw.unionByName(preds))
     return both.groupBy("pipeline", "belt_id").agg(F.count(F.lit(1)).alias("n"))
