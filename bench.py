@@ -27,9 +27,6 @@ def main() -> None:
 
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus))
     from wearcast.plans import queries as Q
-    from wearcast.plans.features import build_features
-    from wearcast.session import materialize
-    from wearcast.sources.readings import read_events_as_readings
 
     timings: dict[str, float] = {}
 
@@ -40,9 +37,8 @@ def main() -> None:
         timings[name] = round(time.time() - t, 3)
 
     def build():
-        f = materialize(build_features(read_events_as_readings(spark, sf_dir), spark))
-        Q._MEMO[(id(spark._jsparkSession), sf_dir, "features")] = f
-        return f
+        # minute bins + feature table, both kept for the later queries
+        return Q.features(spark, sf_dir)
 
     run("feature_build", build)
     for name in ("minute_grid_interpolated", "safe_mode_score", "rolling_stats_24h", "quality_report",
