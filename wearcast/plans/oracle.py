@@ -546,6 +546,11 @@ SELECT belt_id, n_normal, n_critical,
   n_normal + CASE WHEN n_normal > 0 AND n_critical > 0 THEN greatest(CAST(floor(n_normal / 2) AS BIGINT), n_critical)
     ELSE n_critical END AS n_train_balanced
 FROM g""").replace("\n\n, g AS", ",\ng AS").replace(")\n, g AS", "),\ng AS")
+    risk_f, hband_f, rband_f = alert_case("final_health", "final_rul_days")
+    out["flagship_report"] = "WITH " + ",".join(safe_slice) + "," + report_sql(
+        "safe2", f"belt_id, {ts_txt} AS timestamp_utc, {q4('final_health')} AS health_score, "
+                 f"{q4('final_rul_days')} AS rul_days, confidence_level, prediction_status, risk_level, "
+                 f"{risk_f} AS risk, {hband_f} AS health_band, {rband_f} AS rul_band, risk_reasons")
     out.update(stream_oracles())
     return out
 

@@ -326,10 +326,14 @@ def streaming_run(spark, sf):
 
 
 def flagship(spark, sf):
-    """Report per belt (safe mode): summary + operational risk + reasons."""
-    r = _report(spark, sf, lambda d: S.alert_bands(S.safe_mode(d, TH), TH, "final_health", "final_rul_days"))
+    """Report per belt (safe mode): summary + operational risk + reasons +
+    alert bands (bands classify the unrounded values; the emitted record
+    of the stream path carries the 2-place rounding)."""
+    r = _report(spark, sf, lambda d: S.safe_mode(d, TH))
+    r = r.withColumns({"_h": F.col("final_health"), "_r": F.col("final_rul_days")})
+    r = S.alert_bands(r, TH, "final_health", "final_rul_days")
     return r.select("belt_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ssxxx").alias("timestamp_utc"),
-                    q4(F.col("final_health")).alias("health_score"), q4(F.col("final_rul_days")).alias("rul_days"),
+                    q4(F.col("_h")).alias("health_score"), q4(F.col("_r")).alias("rul_days"),
                     "confidence_level", "prediction_status", "risk_level", "risk", "health_band", "rul_band",
                     F.array_join("risk_reasons", ";").alias("risk_reasons"))
 
