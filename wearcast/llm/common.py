@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = TEXT_SLIC
     a longer single value stays whole."""
     for batch in batches:
         at, held = 0, 0
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         for i, n in enumerate(sizes):
             if held and held + n > most:
                 yield batch.slice(at, i - at)
