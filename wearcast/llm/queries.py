@@ -5,12 +5,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe_codec, token_count
+from . import bpe_codec, decontam, minhash, token_count
 from .common import table
 
 TOKEN_LIMIT = 1024
 
 
+def op3_minhash(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"), width=3, percent=85)
+
+
 def op5_bpe_codec(spark, sf):
     return bpe_codec.round_trip_digests(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -21,9 +25,15 @@ def op8_token_count(spark, sf):
     return counts.select("doc_id", "n_bytes", "n_tokens", (counts.n_tokens > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op10_decontam(spark, sf):
+    return decontam.digest(decontam.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+
+
 QUERIES = {
+    "op3_minhash": op3_minhash,
     "op5_bpe_codec": op5_bpe_codec,
     "op8_token_count": op8_token_count,
+    "op10_decontam": op10_decontam,
 }
 
 ORACLE: dict[str, str] = {}
