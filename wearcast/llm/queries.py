@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe_codec, decontam, minhash, token_count
+from pyspark.sql import functions as F
+
+from . import bpe_codec, decontam, minhash, quality_gbt, secret_scan, token_count, url_filter
 from .common import table
 
 TOKEN_LIMIT = 1024
@@ -19,12 +21,31 @@ def op5_bpe_codec(spark, sf):
     return bpe_codec.round_trip_digests(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op6_url_filter(spark, sf):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf, "pages"), rules)
+
+
+def op7_quality_gbt(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality_gbt.score(docs, quality_gbt.train(docs, table(spark, sf, "labels")))
+
+
 def op8_token_count(spark, sf):
     counts = token_count.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                       specials=token_count.json_specials(public_tokenizers.path("byte_bpe_50k.json")))
     return counts.select("doc_id", "n_bytes", "n_tokens", (counts.n_tokens > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op9_secret_scan(spark, sf):
+    docs = table(spark, sf, "documents")
+    return secret_scan.digest(docs, secret_scan.train(docs))
+
+
 def op10_decontam(spark, sf):
     return decontam.digest(decontam.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
 
@@ -32,7 +53,10 @@ def op10_decontam(spark, sf):
 QUERIES = {
     "op3_minhash": op3_minhash,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_url_filter": op6_url_filter,
+    "op7_quality_gbt": op7_quality_gbt,
     "op8_token_count": op8_token_count,
+    "op9_secret_scan": op9_secret_scan,
     "op10_decontam": op10_decontam,
 }
 
