@@ -5,18 +5,34 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from pyspark.sql import functions as F
-
-from . import bpe_codec, decontam, minhash, quality_gbt, secret_scan, token_count, url_filter
+from . import (
+    bpe_codec,
+    decontam,
+    license_scan,
+    minhash,
+    quality_gbt,
+    secret_scan,
+    spotsigs,
+    token_count,
+    url_filter,
+)
 from .common import table
 
 TOKEN_LIMIT = 1024
 
 
+def op1_license_scan(spark, sf):
+    return license_scan.scan(table(spark, sf, "documents"))
+
+
 def op3_minhash(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"), width=3, percent=85)
 
 
+def op4_spotsigs(spark, sf):
+    return spotsigs.compare(table(spark, sf, "documents"))
+
+
 def op5_bpe_codec(spark, sf):
     return bpe_codec.round_trip_digests(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,7 +67,9 @@ def op10_decontam(spark, sf):
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op3_minhash": op3_minhash,
+    "op4_spotsigs": op4_spotsigs,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_url_filter": op6_url_filter,
     "op7_quality_gbt": op7_quality_gbt,
@@ -60,4 +78,6 @@ QUERIES = {
     "op10_decontam": op10_decontam,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle_sql(),
+}
