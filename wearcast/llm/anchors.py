@@ -35,22 +35,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Rolling:
     """Hashes of substrings of `data` in O(1) each: prefix sums of
-    byte * base^i mod 2^64, scaled to a common power before mixing."""
+    byte * base^i mod 2^64, divided by base^start (base is odd, so it has an
+    inverse) and mixed.  They do not depend on what stands around the substring."""
 
     def __init__(self, data: np.ndarray, base: int = _ODD):
         n = len(data)
-        self.pw = powers(n, base)
+        pw = powers(n, base)
+        self.inverse = powers(n, pow(base, -1, 1 << 64))
         self.pre = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.pw[:n], out=self.pre[1:])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[:n], out=self.pre[1:])
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.pre[end] - self.pre[start]) * self.pw[len(self.pw) - 1 - start]
+        h = (self.pre[end] - self.pre[start]) * self.inverse[start]
         return mix(h ^ mix((end - start).astype(np.uint64)))
 
     def every(self, width: int) -> np.ndarray:
         """Hash of data[i:i+width] for every i."""
         m = len(self.pre) - width
-        h = (self.pre[width:] - self.pre[:m]) * self.pw[len(self.pw) - 1 - np.arange(m)]
+        h = (self.pre[width:] - self.pre[:m]) * self.inverse[:m]
         return mix(h)
 
 
@@ -74,21 +76,11 @@ def anchor_runs(data: np.ndarray, starts: np.ndarray, gram: int = GRAM, window:
     pre = np.minimum.accumulate(gp, axis=1).ravel()
     suf = np.minimum.accumulate(gp[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(suf[:m], pre[w - 1:w - 1 + m])
-    # position of the leftmost minimum: next position at or after i whose gram equals it
-    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    doc_of = np.searchsorted(starts, change, side="right") - 1
+    # stretches of windows with the same least gram, and its leftmost place
+    lo = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    hi = np.append(lo[1:], m) - 1
+    pos = _leftmost(g, least, lo, w)
     lo_all, hi_all, pos_all = [], [], []
-    ends = np.append(change[1:], m) - 1
-    order = None
-    del order, doc_of
-    # candidates: positions that are the minimum of some window
-    is_min = np.zeros(len(g), dtype=bool)
-    # a gram is a minimum of the window that starts at i if g[p] == least[i]
-    # with p in [i, i+w); the leftmost such p for the first window of a stretch
-    first = change
-    p = _leftmost(g, least, first, w)
-    is_min[p] = True
-    lo, hi, pos = first, ends, p
     # equal grams inside one stretch: when the leftmost one leaves the window
     # the next equal gram takes over, so cut the stretch there
     over = hi > pos
@@ -111,9 +103,7 @@ def _leftmost(g, least, at, w):
     """For each window start in `at`: the leftmost p >= at with g[p] == least[at]."""
     p = at.copy()
     todo = np.flatnonzero(g[p] != least[at])
-    off = 1
-    # vectorised in chunks: compare w columns for the remaining windows
-    step = 16
+    off, step = 1, 16
     while len(todo) and off < w:
         cols = np.arange(off, min(off + step, w))
         idx = at[todo][:, None] + cols[None, :]

@@ -13,6 +13,7 @@ from . import (
     quality_gbt,
     secret_scan,
     spotsigs,
+    suffix_dedup,
     token_count,
     url_filter,
 )
@@ -25,6 +26,10 @@ def op1_license_scan(spark, sf):
     return license_scan.scan(table(spark, sf, "documents"))
 
 
+def op2_suffix_dedup(spark, sf):
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf, "documents")))
+
+
 def op3_minhash(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"), width=3, percent=85)
 
@@ -68,6 +73,7 @@ def op10_decontam(spark, sf):
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minhash": op3_minhash,
     "op4_spotsigs": op4_spotsigs,
     "op5_bpe_codec": op5_bpe_codec,
