@@ -9,10 +9,13 @@ banded buckets and star-shaped candidate edges.
 3. Pairs are confirmed on the full sets, which are made again from the texts
    of the nodes in question only.
 4. Confirmed links give components.  A bucket whose members are not yet in one
-   component takes its next member as hub, against the later members of other
-   components, until each bucket is one component or all its members have been
-   hubs.  So the star shape loses no link between members of a bucket that
-   could join two components.
+   component gets more hubs (about HUB_GROWTH, then HUB_GROWTH^2, ..., drawn by
+   a hash), each against its members in other components, until the bucket is
+   one component or all its members have been hubs.  So the star shape loses no
+   link between members of a bucket that could join two components.  Here a
+   pair becomes a candidate only if its odd sketches allow the threshold: they
+   bound the symmetric difference from below, so no link is lost by them, and
+   members that are merely alike make few pairs.
 
 The number of bands follows from the threshold so that a pair at the threshold
 shares no bucket with probability below `miss`.
@@ -36,10 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_batches, record, texts, utf8
 from .components import components
-from .shingles import OnePermutation, shingle_sets
+from .shingles import ODD_WORDS, OnePermutation, odd_sketch, shingle_sets
 
 ROWS = 8
 MISS = 1e-6
+HUB_GROWTH = 16     # hubs of an unsettled bucket, per round
 NAMELESS = 1 << 62  # nodes of rows without doc_id come above all ids
 
 
@@ -48,8 +52,9 @@ def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys) of every row; no digest and no keys without shingles."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """(doc_id, n_shingles, digest, keys, odd) of every row; null from digest on without shingles."""
+    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
+                     ("keys", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
     def step(batch, hasher):
         sets = shingle_sets(texts(batch), width)
@@ -57,9 +62,9 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         keys = iter(hasher.band_keys(some) if some else ())
         return record(out, batch.column("doc_id"), [len(s) for s in sets],
                       [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                      [next(keys) if len(s) else None for s in sets])
+                      [next(keys) if len(s) else None for s in sets], [odd_sketch(s) if len(s) else None for s in sets])
 
-    return map_batches(utf8(docs), step, "doc_id long, n_shingles long, digest binary, keys array<long>",
+    return map_batches(utf8(docs), step, "doc_id long, n_shingles long, digest binary, keys array<long>, odd array<long>",
                        start=lambda: OnePermutation(bands, rows))
 
 
@@ -99,8 +104,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     some = sigs.where("n_shingles > 0")
     nodes = scratch.save(some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
                          .select("digest", _node(F.col("doc_id"), F.col("digest")).alias("node")), "nodes")
-    keyed = some.select("digest", "keys", _node(F.col("doc_id"), F.col("digest")).alias("node"))
-    first = keyed.join(nodes, ["digest", "node"], "left_semi")
+    keyed = some.select("digest", "keys", "odd", "n_shingles", _node(F.col("doc_id"), F.col("digest")).alias("node"))
+    first = keyed.join(nodes, ["digest", "node"], "left_semi").dropDuplicates(["digest", "node"])
     members = first.select("node", F.explode("keys").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
     shared = scratch.save(members.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
@@ -112,33 +117,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     links = scratch.save(confirm(pairs, sets, percent), "links-0")
     found = components(links, scratch, "components-0")
 
-    # buckets that are not one component yet: further hubs
-    k, tested = 0, ["pairs-0"]
-    open_ = shared.select("bucket", "node", "hub")
+    # buckets that are not one component yet: more hubs, until all members have been hubs
+    label = F.coalesce("label", "node")
+    tested, open_, hubs_each, k = pairs, shared.select("bucket", "node"), 1, 0
+    sketches = first.select("node", "n_shingles", "odd")
     while True:
-        label = F.coalesce("label", "node")
-        placed = open_.join(found, "node", "left").select("bucket", "node", "hub", label.alias("label"))
-        mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                             F.min(F.when(F.col("node") > F.col("hub"), F.col("node"))).alias("next"),
-                                             F.max("node").alias("top")).where("lo < hi and next < top")
-        k += 1
-        rest = scratch.save(placed.join(mixed.select("bucket", "next"), "bucket").where("node >= next")
-                            .select("bucket", "node", "label", F.col("next").alias("hub")), f"open-{k}")
+        placed = open_.join(found, "node", "left").withColumn("label", label)
+        mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")) \
+            .where((F.col("lo") < F.col("hi")) & (F.col("size") > (2 if k == 0 else hubs_each)))
+        k, hubs_each = k + 1, hubs_each * HUB_GROWTH
+        rest = scratch.save(placed.join(mixed.select("bucket", "size"), "bucket").join(sketches, "node") if k == 1 else
+                            placed.join(mixed.select("bucket", F.col("size").alias("_")), "bucket").drop("_"), f"open-{k}")
         if rest.isEmpty():
             break
-        at = rest.where("node = hub").select("bucket", F.col("label").alias("hub_label"))
-        more = rest.join(at, "bucket").where("node > hub and label <> hub_label").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        for name in tested:
-            more = more.join(spark.read.parquet(scratch.path(name)), ["a", "b"], "left_anti")
+        draw = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30))
+        hubs = rest.where(draw * F.col("size") < (1 << 30) * hubs_each).select(
+            F.col("bucket").alias("at"), F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n_shingles").alias("hub_n"), F.col("odd").alias("hub_odd"))
+        apart = sum((F.bit_count(F.get("odd", i).bitwiseXOR(F.get("hub_odd", i))) for i in range(ODD_WORDS)), F.lit(0))
+        may = (100 + percent) * apart <= (100 - percent) * (F.col("n_shingles") + F.col("hub_n"))
+        more = rest.join(hubs, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("hub_label")) & may) \
+            .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(more, f"pairs-{k}")
-        tested.append(f"pairs-{k}")
-        open_ = rest.select("bucket", "node", "hub")
+        tested, open_ = tested.union(pairs), rest.drop("label")
         if trace is not None:
             trace.append((k, rest.count(), pairs.count()))
-        new = scratch.save(confirm(pairs, sets, percent), f"links-{k}")
+        # new links join components: their labels are the nodes of a small graph
+        new = confirm(pairs, sets, percent)
+        for x in ("a", "b"):
+            new = new.join(found.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x, "left")
+        new = scratch.save(new.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b"), f"links-{k}")
         if not new.isEmpty():
-            links = links.union(new)
-            found = components(links, scratch, f"components-{k}")
+            joined = components(new, scratch, f"joined-{k}").select(F.col("node").alias("label"), F.col("label").alias("to"))
+            every = found.select("node", "label").union(shared.select("node", F.col("node").alias("label")).distinct().join(found, "node", "left_anti"))
+            found = scratch.save(every.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"found-{k}")
 
     where = nodes.join(found, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
     placed = sigs.join(where, "digest", "left")

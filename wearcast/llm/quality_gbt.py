@@ -88,9 +88,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ra
     """Boosting with logistic loss; splits maximise the gain of gradient histograms."""
     share = float(y.mean()) if len(y) else 0.5
     none = np.zeros((0, 2**depth - 1))
-    if not 0 < share < 1:
-        bias = 40.0 if share == 1 else -40.0 if share == 0 else 0.0
-        return Trees(bias if len(y) else 0.0, none.astype(int), none, np.zeros((0, 2**depth)), np.zeros(x.shape[1]))
+    if not len(y) or not 0 < share < 1:
+        bias = 0.0 if share == 0.5 else 40.0 if share else -40.0
+        return Trees(bias, none.astype(int), none, np.zeros((0, 2**depth)), np.zeros(x.shape[1]))
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)])
     model = Trees(float(np.log(share / (1 - share))), np.full((trees, 2**depth - 1), -1), np.zeros((trees, 2**depth - 1)),

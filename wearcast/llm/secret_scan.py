@@ -115,18 +115,21 @@ def train(docs: DataFrame) -> dict[int, float]:
     return {p: log(1, p) - log(0, p) for p in seen}
 
 
+BASE, SPANS = "_secret_base", "_secret_spans"   # columns that `scan` adds
+
+
 def scan(docs: DataFrame, model: dict[int, float], threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the columns `base` and `spans` (start, kind, end, value): base spans,
+    """docs with the columns BASE and SPANS (start, kind, end, value): base spans,
     and base with markov spans, by start and kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("base", base_spans(text))
+    found = docs.withColumn(BASE, base_spans(text))
     if not model:
-        return found.withColumn("spans", F.col("base"))
+        return found.withColumn(SPANS, F.col(BASE))
     ratios = F.lit([float(model.get(i, 0.0)) for i in range(SYMBOLS * SYMBOLS)])
     score = lambda v: F.aggregate(pairs(v), F.lit(0.0), lambda a, p: a + F.element_at(ratios, p + 1)) / (F.length(v) + 1)
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    apart = lambda s: ~F.exists(BASE, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     more = F.filter(token_spans(text), lambda s: apart(s) & (score(s["value"]) > threshold))
-    return found.withColumn("spans", F.array_sort(F.concat("base", more)))
+    return found.withColumn(SPANS, F.array_sort(F.concat(BASE, more)))
 
 
 def _joined(spans: Column) -> Column:
@@ -136,10 +139,10 @@ def _joined(spans: Column) -> Column:
 
 def digest(docs: DataFrame, model: dict[int, float]) -> DataFrame:
     """The contract's columns for every row of docs(doc_id, text)."""
-    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    n = lambda k: F.size(F.filter(BASE, lambda s: s["kind"] == k)).cast("long")
     found = scan(docs.select("doc_id", "text"), model)
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
-                        F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+                        F.sha2(_joined(F.col(BASE)).cast("binary"), 256).alias("base_sha256"), _joined(F.col(SPANS)).alias("spans"))
 
 
 def redact(docs: DataFrame, model: dict[int, float], mark: str = "[secret]") -> DataFrame:
@@ -148,11 +151,11 @@ def redact(docs: DataFrame, model: dict[int, float], mark: str = "[secret]") ->
     cols = docs.columns
     found = scan(docs, model)
     cut = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        SPANS, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(s["start"] < acc["at"], acc["out"]).otherwise(
                 F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    clean = F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))
+    clean = F.when(F.size(SPANS) > 0, cut).otherwise(F.col("text"))
     return found.select(*[clean.alias("text") if c == "text" else F.col(c) for c in cols])

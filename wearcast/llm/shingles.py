@@ -63,3 +63,15 @@ class OnePermutation:
         for r in range(1, self.rows):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
         return key.view(np.int64)
+
+
+ODD_WORDS = 16  # longs of an odd sketch
+
+
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Bit i says whether an odd number of hashes fall into cell i.  Cells in
+    which two sketches differ hold at least one hash that only one set has, so
+    their number never exceeds the size of the symmetric difference."""
+    cells = 64 * ODD_WORDS
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
