@@ -9,10 +9,9 @@ the encoded texts).
 4. secrets       secret spans are replaced in the text; n_chars follows it.
 5. encode        doc_id, n_tokens and ids of each text.
 
-Null texts are empty.  A document without doc_id is judged by its text like any
-other; where several of them are near-duplicates of each other alone, all stay,
-as no id tells them apart.  Rows that share a doc_id are one document and stay
-or go together.
+Null texts are empty.  Rows that share a doc_id are one document and stay or go
+together; rows without doc_id are one document where their texts are equal, and
+of a group of near-duplicates a document with doc_id stays before one without.
 """
 
 from __future__ import annotations
@@ -27,9 +26,19 @@ from wearcast.llm.common import Scratch, table
 ORACLE_SQL = None  # trees, hashing and BPE are beyond SQL; tests/llm compares the stages with brute force
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not in ids."""
-    return docs.join(ids.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_key`: doc_id, or a number made from the text, above usual ids, where there is none."""
+    made = F.lit(1 << 61) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 60) - 1))
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), made))
+
+
+def _plain(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("_key").alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of keyed docs whose key is not in ids."""
+    return keyed.join(ids.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +48,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs, width=5, percent=80)
-    return _without(docs, found.where(~F.col("kept")).select("doc_id"))
+    keyed = _keyed(docs)
+    found = minhash.near_duplicates(_plain(keyed), width=5, percent=80)
+    return _without(keyed, found.where(~F.col("kept"))).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where(F.size("items") > 0).select("doc_id"))
+    keyed = _keyed(docs)
+    found = decontam.find_contamination(_plain(keyed), table(spark, sf_dir, "benchmark"))
+    return _without(keyed, found.where(F.size("items") > 0)).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
