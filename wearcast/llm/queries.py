@@ -86,4 +86,5 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_license_scan": license_scan.oracle_sql(),
+    "op6_url_filter": url_filter.oracle_sql(URL_RULES),
 }

@@ -100,6 +100,20 @@ def judge(pages: DataFrame, rules: DataFrame, ranges: int = RANGES, salts: int =
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT)).alias("verdict"))
 
 
+def oracle_sql(rules: list[tuple[str, str, str]]) -> str:
+    """The result of `judge` for these rules in DuckDB SQL over `pages` (page_id unique)."""
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
+    return f"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host,
+                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+rules(h, p, v) AS (VALUES {values})
+SELECT page_id, host, path, arg_max(h || p, length(h) + length(p)) AS rule,
+       coalesce(arg_max(v, length(h) + length(p)), '{DEFAULT}') AS verdict
+FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+GROUP BY page_id, host, path"""
+
+
 def _borders(keyed: DataFrame, ranges: int, each: int = 16) -> list[str]:
     """Fewer than `ranges` keys that cut the pages into like shares, from the
     ranges * each rows with the least hash; they place rows, no result depends on them."""
