@@ -17,8 +17,8 @@ SQL = E.oracle_sql()
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("events",):
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    for name in os.listdir(SF_SMALL):
+        c.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{SF_SMALL}/{name}')")
     return c
 
 

@@ -155,9 +155,12 @@ def days_between(later: Column, earlier: Column) -> Column:
 
 
 def calendar_rul_days(ts: Column, install: Column, replace: Column) -> Column:
+    """Both dates must be known: without them greatest() would give one day."""
     lifecycle = F.greatest(days_between(replace, install), lit(1.0))
     raw = clip(days_between(replace, ts), 0.0)
-    return F.coalesce(F.least(raw, lifecycle), lifecycle)
+    known = install.isNotNull() & replace.isNotNull()
+    return F.when(known, F.coalesce(F.least(raw, lifecycle), lifecycle)).otherwise(
+        F.raise_error(F.lit("belt without installation or replacement date")).cast("double"))
 
 
 def target_health(deg: Column, warn24: Column, crit24: Column) -> Column:

@@ -46,8 +46,10 @@ class Spec:
 
 
 def _part_aggs(y: Column, x: Column, role_is: Column, w, stats: tuple, tag: str, name: str):
-    yy = F.when(role_is, y)
-    xx = F.when(role_is & y.isNotNull(), x)
+    # a non-finite reading counts as missing, else it would spoil every window over it
+    finite = y.isNotNull() & ~F.isnan(y.cast("double")) & (F.abs(y.cast("double")) < float("inf"))
+    yy = F.when(role_is & finite, y)
+    xx = F.when(role_is & finite, x)
     out = {}
     n = F.count(yy).over(w)
     out["n"] = n

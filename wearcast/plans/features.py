@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FIXTURE_BELTS, WINDOWS, BeltMeta, Thresholds, external_feature_name
+from ..config import WINDOWS, BeltMeta, Thresholds, external_feature_name
 from ..functions import formulas as fx
 from ..operators.clean import clean_readings
 from ..operators.grid import DAY, minute_means, minute_ts, wide_grid
@@ -26,7 +26,8 @@ SLOPE_WINDOWS = ("1h", "6h", "24h")
 
 def belts_table(spark: SparkSession, belts: list[BeltMeta] | None = None) -> DataFrame:
     """JOI-2: belt dimension; its size is the number of configured belts."""
-    belts = belts or FIXTURE_BELTS
+    if not belts:
+        raise ValueError("belt metadata is needed for the targets")
     rows = [(b.belt_id, b.installation_date, b.replace_date) for b in belts]
     df = spark.createDataFrame(rows, "belt_id string, installation_date string, replace_date string")
     return df.select("belt_id",
@@ -163,8 +164,9 @@ def condition_features(df: DataFrame) -> DataFrame:
 
 
 def target_features(df: DataFrame, belts: DataFrame, th: Thresholds) -> DataFrame:
-    """SCA-16..20.  The belt table is config-sized, hence broadcast."""
-    df = df.join(F.broadcast(belts), "belt_id", "left")
+    """SCA-16..20.  A belt without metadata fails the job; Spark picks the join
+    by the size of the belt table."""
+    df = df.join(belts, "belt_id", "left")
     df = df.withColumn("calendar_rul_days",
                        fx.calendar_rul_days(F.col("ts"), F.col("install_ts"), F.col("replace_ts")))
     df = df.withColumns({
@@ -191,6 +193,16 @@ def finalize(df: DataFrame, fill: bool = True) -> DataFrame:
     return df.fillna(0.0, subset=num).fillna(0, subset=ints)
 
 
+def has_gaps(df: DataFrame) -> bool:
+    """Whether any numeric cell is null or not finite.  Where none is, SCA-21
+    changes nothing, so its fill pass is left out; one scan decides."""
+    gap = F.lit(False)
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("double", "float"):
+            gap = gap | F.col(f.name).isNull() | F.isnan(f.name) | (F.abs(F.col(f.name)) == float("inf"))
+    return not df.where(gap).isEmpty()
+
+
 def build_features(readings: DataFrame, spark: SparkSession, th: Thresholds | None = None,
                    belts: list[BeltMeta] | None = None, fill: bool = True,
                    means: DataFrame | None = None) -> DataFrame:
@@ -201,15 +213,6 @@ def build_features(readings: DataFrame, spark: SparkSession, th: Thresholds | No
         wide = wide_table(readings, th)
     else:
         wide = materialize(wide_grid(means))
-    if fill:
-        # Every feature formula is total on finite inputs, so missing or
-        # non-finite feature cells can only come from a non-finite sensor
-        # value in the (small, materialised) wide grid.  One scan of its
-        # three value columns decides whether the fill pass is needed.
-        bad = F.lit(False)
-        for c in ("temp_avg", "elong_avg", "curr_avg"):
-            bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
-        fill = wide.where(bad).limit(1).count() > 0
     wide = wide.withColumn("ts", minute_ts(F.col("mi")))
     df = rolling_features(wide, th)
     df = scalar_features(df, th, "batch")
@@ -217,6 +220,7 @@ def build_features(readings: DataFrame, spark: SparkSession, th: Thresholds | No
     df = target_features(df, belts_table(spark, belts), th)
     if fill:
         df = materialize(df)
+        fill = has_gaps(df)
     return finalize(df, fill)
 
 

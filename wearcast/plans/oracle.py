@@ -533,6 +533,15 @@ SELECT belt_id, fold, fold_size, n - (3 - fold + 1) * fold_size AS n_fold_train,
        lo + n - (3 - fold + 1) * fold_size AS val_start_mi, lo + n - (3 - fold + 1) * fold_size + fold_size AS val_end_mi,
        n >= 30 AS cv_enabled
 FROM span, (SELECT unnest([1, 2, 3]) AS fold)""").replace("\n\n, span AS", ",\nspan AS").replace(")\n, span AS", "),\nspan AS")
+    out["cv_fold_rows"] = with_ctes(
+        *fc, train, "twice AS (SELECT belt_id, mi FROM train UNION ALL SELECT belt_id, mi FROM train WHERE is_critical_label = 1)",
+        """numbered AS (SELECT belt_id, mi, row_number() OVER (PARTITION BY belt_id ORDER BY mi) - 1 AS pos,
+  count(*) OVER (PARTITION BY belt_id) AS n FROM twice)""",
+        """parted AS (SELECT belt_id, mi, fold, CASE WHEN pos < n - (3 - fold + 1) * (n // 4) THEN 'train'
+  WHEN pos < n - (3 - fold) * (n // 4) THEN 'validation' END AS part
+  FROM numbered, (SELECT unnest([1, 2, 3]) AS fold) WHERE n >= 30)""",
+        body="""SELECT belt_id, fold, part, count(*) AS n_rows, CAST(sum(mi) AS BIGINT) AS sum_mi
+FROM parted WHERE part IS NOT NULL GROUP BY belt_id, fold, part""")
     weight = (f"CASE WHEN is_critical_label = 1 THEN {D(15)} ELSE {D(1)} END * "
               f"({D(1)} + {clip('coalesce(degradation_index, 0.0)', 0, 2)})")
     out["sample_weights"] = _daily_from("w", ["is_critical_label", "weight"],

@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CORE_SENSORS, FIXTURE_BELTS, MODEL_FEATURES, Thresholds, internal_feature_name
-from ..functions.formulas import QK, clip, lit
+from ..config import CORE_SENSORS, FIXTURE_BELTS, Thresholds
+from ..functions.formulas import QK
 from ..operators import clean as C
 from ..operators import grid as G
 from ..session import materialize
-from ..sources.readings import read_events_as_readings, with_replayed_duplicates
+from ..sources.readings import events_path, read_events_as_readings, with_replayed_duplicates
 from . import features as FE
 from . import score as S
 from . import training as TR
@@ -29,6 +29,11 @@ def q4(c: Column) -> Column:
     return F.round(c * F.lit(QK)) / F.lit(QK)
 
 
+def rounded(df: DataFrame, exact: tuple[str, ...]) -> DataFrame:
+    """Floats of a report on the grid of `q4`, for comparison between engines only."""
+    return df.select(*[F.col(c) if c in exact else q4(F.col(c)).alias(c) for c in df.columns])
+
+
 def day_of(mi: Column) -> Column:
     return F.date_format(F.date_from_unix_date(F.floor(mi / 1440).cast("int")), "yyyy-MM-dd")
 
@@ -38,15 +43,22 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _memo(spark: SparkSession, sf: str, name: str, build):
-    """Tables shared by several queries are built once per session and kept
-    as materialised Parquet in the checkpoint folder (the reference keeps
-    its cleaned and feature tables as files for the same reason)."""
-    key = (id(spark._jsparkSession), sf, name)
+    """Tables shared by several queries are built once per application and
+    kept as materialised Parquet in the checkpoint folder, for as long as the
+    events they come from are the same files."""
+    key = (spark.sparkContext.applicationId, name, _state(spark, events_path(sf)))
     if key not in _MEMO:
         _MEMO[key] = materialize(build())
     return _MEMO[key]
 
 
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Path, size and time of the files of a table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))
+
+
 def means(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned readings binned to minutes (AGG-1, PRJ-*, AGG-2)."""
     return _memo(spark, sf, "means", lambda: G.minute_means(C.clean_readings(readings(spark, sf))))
@@ -55,7 +67,7 @@ def means(spark: SparkSession, sf: str) -> DataFrame:
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """The batch feature table for one scale factor."""
     return _memo(spark, sf, "features",
-                 lambda: FE.build_features(readings(spark, sf), spark, means=means(spark, sf)))
+                 lambda: FE.build_features(readings(spark, sf), spark, belts=FIXTURE_BELTS, means=means(spark, sf)))
 
 
 def daily(df: DataFrame, cols: list[str], extra: list[Column] | None = None) -> DataFrame:
@@ -229,19 +241,21 @@ def summary(spark, sf):
 # ------------------------------------------------------ reports / train ----
 def quality_report(spark, sf):
     clean = G.minute_grid(means(spark, sf))
-    return S.quality_report(clean, features(spark, sf))
+    exact = ("belt_id", "rows_after_preprocessing", "warning_events", "critical_events")
+    return rounded(S.quality_report(clean, features(spark, sf)), exact)
 
 
 def regression_metrics(spark, sf):
     s = S.safe_mode(features(spark, sf), TH)
-    return TR.regression_metrics(s, [("health", "target_health", "final_health"),
-                                     ("rul", "target_rul_days", "final_rul_days")], n_features=1,
-                                 by=["belt_id"])
+    m = TR.regression_metrics(s, [("health", "target_health", "final_health"),
+                                  ("rul", "target_rul_days", "final_rul_days")], n_features=1, by=["belt_id"])
+    return rounded(m, ("belt_id", "n"))
 
 
 def segment_metrics(spark, sf):
     s = S.safe_mode(features(spark, sf), TH)
-    return TR.segment_metrics(s, "target_health", "final_health", "target_rul_days", "final_rul_days")
+    m = TR.segment_metrics(s, "target_health", "final_health", "target_rul_days", "final_rul_days")
+    return rounded(m, ("belt_id", "condition_state_code", "n"))
 
 
 def chrono_split(spark, sf):
@@ -253,6 +267,13 @@ def cv_folds(spark, sf):
     return TR.cv_fold_summary(tr, k=3)
 
 
+def cv_fold_rows(spark, sf):
+    """Rows and minute sums of the fold frames, over a set in which the minutes
+    of critical rows repeat as they do after upsampling."""
+    tr = TR.chrono_split(TR.with_critical_label(features(spark, sf)), TR.DEFAULT_TEST_SIZE)[0]
+    return TR.cv_fold_rows(tr.unionByName(tr.where("is_critical_label = 1")), k=3)
+
+
 def sample_weights(spark, sf):
     w = TR.with_weights(TR.with_critical_label(features(spark, sf)))
     return daily(w, ["is_critical_label", "weight"])
@@ -360,6 +381,7 @@ QUERIES = {
     "segment_metrics": segment_metrics,
     "chrono_split": chrono_split,
     "cv_folds": cv_folds,
+    "cv_fold_rows": cv_fold_rows,
     "sample_weights": sample_weights,
     "upsample_counts": upsample_counts,
     "normalize_events": normalize_events,
@@ -371,5 +393,3 @@ QUERIES = {
     "streaming_run": streaming_run,
     "flagship_report": flagship,
 }
-
-_unused = (FIXTURE_BELTS, MODEL_FEATURES, internal_feature_name, clip, lit)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -44,15 +43,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (`spark.checkpoint.dir`).
 
     On a cluster the setting is expected to point at shared storage.  Only
-    when it is unset (local tests) do we create a scratch folder, and we
-    record it in the session so every later call agrees.
+    where it is unset a folder in the warehouse, which is shared too, stands in;
+    it is recorded in the session so every later call agrees.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="wearcast-ckpt-")
+        d = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoint"
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 

@@ -75,7 +75,7 @@ def read_sensor_csv(spark: SparkSession, path: str, belt_id: str | None = None)
     raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt").schema(schema).csv(path))
     n_fields = len(header)
-    too_long = F.col("_corrupt").isNotNull() & (F.size(F.split(F.col("_corrupt"), ",")) > n_fields)
+    too_long = F.col("_corrupt").isNotNull() & (F.size(F.split(F.regexp_replace("_corrupt", '"([^"]|"")*"', ""), ",")) > n_fields)
     raw = raw.where(~too_long | F.col("_corrupt").isNull())
     belt = F.col("belt_id") if "belt_id" in header else F.lit(belt_id or DEFAULT_BELT)
     cols = {c: (F.col(f"`{c}`") if c in header else F.lit(None)) for c in OPTIONAL_COLUMNS}
@@ -85,8 +85,10 @@ def read_sensor_csv(spark: SparkSession, path: str, belt_id: str | None = None)
         to_utc_timestamp_lenient(F.col("`@timestamp`")).alias("ts"),
         to_double(F.col("avg_value")).alias("avg_value"),
         *[to_double(cols[c]).alias(c) for c in OPTIONAL_COLUMNS],
-        # file order: partition-local position, stable for one read of one file set
-        F.monotonically_increasing_id().alias("ingest_seq"),
+        # arrival order: file by path, split by offset, then row; partitions alone
+        # follow the sizes of the files
+        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                 F.monotonically_increasing_id().alias("row")).alias("ingest_seq"),
     )
 
 
@@ -155,5 +157,3 @@ def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
         df = df.where(F.col("ts").isNotNull())
     return df
 
-
-CORE = CORE_SENSORS

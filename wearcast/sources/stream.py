@@ -63,9 +63,9 @@ def kafka_records(df: DataFrame, key_col: str = "belt_id") -> DataFrame:
 
 def replay_events(readings: DataFrame) -> DataFrame:
     """SRC-8: each stored reading becomes one input payload
-    (`sensorid`, `@timestamp`, `avg_value`, plus the arrival `seq`)."""
+    (`belt_id`, `sensorid`, `@timestamp`, `avg_value`, plus the arrival `seq`)."""
     return readings.select(F.to_json(F.struct(
-        F.col("sensorid"),
+        F.col("belt_id"), F.col("sensorid"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("@timestamp"),
         F.col("avg_value"),
         F.col("ingest_seq").alias("seq"))).alias("value"))
