@@ -61,3 +61,45 @@ def test_last_reading_wins_across_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("\n".join([head, line + "1"]))
     (tmp_path / "b.csv").write_text("\n".join([head, *[line + str(i) for i in range(2, 2000)]]))
     assert [r.avg_value for r in dedup_keep_last(read_sensor_csv(spark, str(tmp_path))).collect()] == [1999.0]
+
+
+def test_saved_model_to_scores(spark, tmp_path):
+    from wearcast.plans import model_scoring as MS
+
+    n, feats = 200, ["x1", "x2"]
+    cols = ["degradation_index", "warning_count", "critical_count", "current_volatility_6h", "temp_variability_12h", "elong_trend_6h"]
+    df = spark.range(n).select(F.col("id").alias("mi"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("belt_id"),
+                               F.col("id").cast("double").alias("x1"), F.sin("id").alias("x2"), F.lit(1.0).alias("weight"),
+                               (100 - F.col("id") / 4).alias("target_health"), (2000.0 - F.col("id")).alias("target_rul_days"),
+                               F.lit(900.0).alias("calendar_rul_days"), *[F.lit(0.1).alias(c) for c in cols])
+    df = df.withColumn("mi", F.floor(F.col("mi") / 2))
+    pair = TR.fit_pair(df, feats, {"n_estimators": 4, "max_depth": 4, "min_samples_leaf": 1, "random_state": 1})
+    TR.save_models(*pair, str(tmp_path / "m"), feats, {})
+    models = TR.load_models(str(tmp_path / "m"))
+    good = MS.score_table(df, models)
+    assert {r.prediction_status for r in good.collect()} == {"ok"} and good.count() == n
+    assert all(0 <= r.final_health <= 100 and abs(r.ml_health_raw - r.target_health) < 15 for r in good.collect())
+    hole = df.withColumn("x1", F.when((F.col("belt_id") == "a") & (F.col("mi") == 7), None).otherwise(F.col("x1")))
+    got = {(r.belt_id, r.prediction_status) for r in MS.score_table(hole, models, ml_only=True).collect()}
+    assert got == {("a", "fallback_feature_prep_failed"), ("b", "ok_ml_only")}
+    assert {r.prediction_status for r in MS.score_table(df.drop("x2"), models).collect()} == {"fallback_feature_prep_failed"}
+    assert {r.prediction_status for r in MS.score_table(df, None).collect()} == {"safe_mode_calendar"}
+    assert {r.prediction_status for r in MS.score_table(df, None, ml_only=True).collect()} == {"ml_only_model_unavailable"}
+    assert TR.load_models(str(tmp_path / "none")) is None
+
+
+def test_tables_by_day(spark, tmp_path):
+    from wearcast.sources.sinks import cached_by_day, read_by_day, write_report
+
+    df = spark.range(4000).select(F.lit("7").alias("belt_id"), F.col("id").alias("mi"), F.col("id").cast("double").alias("v"))
+    path = str(tmp_path / "t")
+    built = []
+    for _ in range(2):
+        out = cached_by_day(spark, path, lambda: built.append(1) or df)
+        assert sorted(map(tuple, out.select("belt_id", "mi", "v").collect())) == sorted(map(tuple, df.collect()))
+    assert len(built) == 1
+    last = read_by_day(spark, path, last_days=1)
+    assert last.agg(F.min("mi")).first()[0] == 2880
+    assert "PartitionFilters: [isnotnull(day" in last._jdf.queryExecution().toString()
+    write_report(df.limit(3), str(tmp_path / "r"), "mi")
+    assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 3

@@ -533,6 +533,7 @@ SELECT belt_id, fold, fold_size, n - (3 - fold + 1) * fold_size AS n_fold_train,
        lo + n - (3 - fold + 1) * fold_size AS val_start_mi, lo + n - (3 - fold + 1) * fold_size + fold_size AS val_end_mi,
        n >= 30 AS cv_enabled
 FROM span, (SELECT unnest([1, 2, 3]) AS fold)""").replace("\n\n, span AS", ",\nspan AS").replace(")\n, span AS", "),\nspan AS")
+    out["features_roundtrip"] = out["degradation"]
     out["cv_fold_rows"] = with_ctes(
         *fc, train, "twice AS (SELECT belt_id, mi FROM train UNION ALL SELECT belt_id, mi FROM train WHERE is_critical_label = 1)",
         """numbered AS (SELECT belt_id, mi, row_number() OVER (PARTITION BY belt_id ORDER BY mi) - 1 AS pos,

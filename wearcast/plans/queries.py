@@ -9,6 +9,8 @@ between engines on decimal ties).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ from ..config import CORE_SENSORS, FIXTURE_BELTS, Thresholds
 from ..functions.formulas import QK
 from ..operators import clean as C
 from ..operators import grid as G
-from ..session import materialize
+from ..session import checkpoint_dir, materialize
 from ..sources.readings import events_path, read_events_as_readings, with_replayed_duplicates
+from ..sources.sinks import read_by_day, write_by_day
 from . import features as FE
 from . import score as S
 from . import training as TR
@@ -274,6 +277,13 @@ def cv_fold_rows(spark, sf):
     return TR.cv_fold_rows(tr.unionByName(tr.where("is_critical_label = 1")), k=3)
 
 
+def features_roundtrip(spark, sf):
+    """Features written by belt and day and read again (SNK-1, SNK-7, TOP-1)."""
+    path = f"{checkpoint_dir(spark)}/features-by-day/{uuid.uuid4().hex}"
+    write_by_day(features(spark, sf), path)
+    return daily(read_by_day(spark, path), GROUPS["degradation"])
+
+
 def sample_weights(spark, sf):
     w = TR.with_weights(TR.with_critical_label(features(spark, sf)))
     return daily(w, ["is_critical_label", "weight"])
@@ -380,6 +390,7 @@ QUERIES = {
     "regression_metrics": regression_metrics,
     "segment_metrics": segment_metrics,
     "chrono_split": chrono_split,
+    "features_roundtrip": features_roundtrip,
     "cv_folds": cv_folds,
     "cv_fold_rows": cv_fold_rows,
     "sample_weights": sample_weights,
