@@ -103,3 +103,25 @@ def test_tables_by_day(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in last._jdf.queryExecution().toString()
     write_report(df.limit(3), str(tmp_path / "r"), "mi")
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 3
+
+
+@pytest.mark.parametrize("fan", [2, 1024])
+def test_scans_over_three_levels(spark, fan):
+    from wearcast.operators.scan import carry_prev_next, sequence_index
+
+    n = 60
+    df = spark.range(n).select(F.lit("b").alias("k"), F.col("id").alias("o"), F.floor(F.col("id") / 3).alias("chunk"),
+                               F.when(F.col("id").isin(1, 2, 17, 18, 50), F.col("id").cast("double")).alias("v")).repartition(7)
+    known = [1, 2, 17, 18, 50]
+    for r in carry_prev_next(df, ["k"], "o", ["v"], "chunk", fan=fan).collect():
+        assert (r._p_v and r._p_v.o) == max((x for x in known if x <= r.o), default=None)
+        assert (r._n_v and r._n_v.o) == min((x for x in known if x > r.o), default=None)
+    assert all(r.seq == r.o for r in sequence_index(df, ["k"], ["o"], "chunk", fan=fan).collect())
+
+
+def test_dedup_is_a_hash_aggregate(spark):
+    df = spark.range(5).select(F.lit("b").alias("belt_id"), F.lit("s").alias("sensorid"), F.to_timestamp(F.lit("2024-01-01")).alias("ts"),
+                               F.col("id").cast("double").alias("avg_value"), F.lit(None).cast("double").alias("min_value"), F.col("id").alias("ingest_seq"))
+    plan = dedup_keep_last(df)._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert [r.avg_value for r in dedup_keep_last(df).collect()] == [4.0]

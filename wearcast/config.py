@@ -54,10 +54,6 @@ RUL_BANDS_CODE_DEFAULT = {"critical_days": 180.0, "warning_days": 540.0,
                           "maintenance_due_days": 1080.0}
 
 # batch report / operational-risk limits
-REPORT_HEALTH_CRITICAL = 50.0
-REPORT_HEALTH_WARNING = 65.0
-REPORT_RUL_CRITICAL = 90.0
-REPORT_RUL_WARNING = 180.0
 QUALITY_MIN_ROWS = 100
 QUALITY_MAX_MISSING = 0.3
 
@@ -71,15 +67,6 @@ MODEL_PARAMS = {
 }
 
 
-def _rolling_names() -> list[str]:
-    out = []
-    for sensor in [TEMP_SENSOR, ELONG_SENSOR, CURRENT_SENSOR]:
-        for label in WINDOWS:
-            for stat in ("mean", "std", "min", "max"):
-                out.append(f"{sensor}_{label}_{stat}")
-    return out
-
-
 # The 77-name model feature contract, in the shipped order.
 MODEL_FEATURES = (
     [f"{CURRENT_SENSOR}_avg", f"{TEMP_SENSOR}_avg", f"{ELONG_SENSOR}_avg"]
@@ -168,13 +155,12 @@ class Thresholds:
 
     @classmethod
     def load(cls, path: str | None) -> "Thresholds":
+        """Defaults where there is no file; a file that cannot be read or is no
+        JSON raises."""
         if not path or not os.path.exists(path):
             return cls()
-        try:
-            with open(path, encoding="utf-8") as f:
-                return cls.from_dict(json.load(f))
-        except (OSError, ValueError):
-            return cls()
+        with open(path, encoding="utf-8") as f:
+            return cls.from_dict(json.load(f))
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ filter and sensor-coverage checks (PRJ-1..4, AGG-1, AGG-4, SET-3, JOI-1, JOI-5).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CORE_SENSORS, Thresholds
@@ -24,22 +24,15 @@ def core_sensor_filter(df: DataFrame) -> DataFrame:
 def dedup_keep_last(df: DataFrame) -> DataFrame:
     """AGG-1: per (belt, sensor, ts) keep the row that arrived last.
 
-    `max_by(struct, ingest_seq)` is a plain hash aggregate with a map-side
-    partial step, so a hot key is pre-reduced before the shuffle.
+    One `max_by` per column: numbers as values and a number as order give
+    fixed-width buffers, so this is a hash aggregate with a map-side step that
+    reduces a hot key before the shuffle (a struct would be sorted instead).
+    Arrival numbers are unique, so all columns come from the same row.
     """
     payload = [c for c in df.columns if c not in ("belt_id", "sensorid", "ts")]
     agg = df.groupBy("belt_id", "sensorid", "ts").agg(
-        F.max_by(F.struct(*payload), F.col("ingest_seq")).alias("_last"))
-    return agg.select("belt_id", "sensorid", "ts", *[F.col(f"_last.{c}").alias(c) for c in payload])
-
-
-def limits_table(spark: SparkSession, th: Thresholds) -> DataFrame:
-    """JOI-1: per-sensor valid range as a table of at most len(CORE_SENSORS) rows."""
-    rows = []
-    for s in CORE_SENSORS:
-        lo, hi = th.ranges.get(s, (None, None))
-        rows.append((s, None if lo is None else float(lo), None if hi is None else float(hi)))
-    return spark.createDataFrame(rows, "sensorid string, lo double, hi double")
+        *[(F.max(c) if c == "ingest_seq" else F.max_by(c, "ingest_seq")).alias(c) for c in payload])
+    return agg.select("belt_id", "sensorid", "ts", *payload)
 
 
 def range_filter(df: DataFrame, th: Thresholds) -> DataFrame:

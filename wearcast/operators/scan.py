@@ -20,14 +20,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNB = Window.unboundedPreceding
+FAN = 1024  # chunks whose summaries are scanned together
 
 
 def _nn_struct(order: str, col: str) -> Column:
     return F.when(F.col(col).isNotNull(), F.struct(F.col(order).alias("o"), F.col(col).alias("v")))
 
 
+def _carry_chunks(summary: DataFrame, keys: list[str], chunk: str, prev: dict[str, str], nxt: dict[str, str],
+                  fan: int) -> DataFrame:
+    """For each row of the chunk summary the last value of the earlier chunks
+    (`prev`: new column -> (o, v) struct) and the first of the later ones.
+
+    Chunks are grouped by `fan` again, so the window over a whole series sees
+    one row for fan chunks: some thousand rows even for 10^12 readings."""
+    s = summary.withColumn("_sup", F.floor(F.col(chunk) / fan).cast("long"))
+    part = Window.partitionBy(*keys, "_sup")
+    up = part.orderBy(F.col(chunk).asc()).rowsBetween(UNB, -1)
+    dn = part.orderBy(F.col(chunk).desc()).rowsBetween(UNB, -1)
+    near = s.withColumns({**{f"_near{n}": F.last(c, ignorenulls=True).over(up) for n, c in prev.items()},
+                          **{f"_near{n}": F.last(c, ignorenulls=True).over(dn) for n, c in nxt.items()}})
+    tops = s.groupBy(*keys, "_sup").agg(*[F.max(c).alias(n) for n, c in prev.items()], *[F.min(c).alias(n) for n, c in nxt.items()])
+    whole = Window.partitionBy(*keys)
+    far = tops.select(*keys, "_sup",
+                      *[F.last(n, ignorenulls=True).over(whole.orderBy(F.col("_sup").asc()).rowsBetween(UNB, -1)).alias(f"_far{n}") for n in prev],
+                      *[F.last(n, ignorenulls=True).over(whole.orderBy(F.col("_sup").desc()).rowsBetween(UNB, -1)).alias(f"_far{n}") for n in nxt])
+    return near.join(far, [*keys, "_sup"], "left").select(
+        *keys, chunk, *[F.coalesce(f"_near{n}", f"_far{n}").alias(n) for n in (*prev, *nxt)])
+
+
 def carry_prev_next(df: DataFrame, keys: list[str], order: str, cols: list[str], chunk: str,
-                    prev: bool = True, nxt: bool = True) -> DataFrame:
+                    prev: bool = True, nxt: bool = True, fan: int = FAN) -> DataFrame:
     """For every row and column `c` add
 
     * `_p_c`: struct(o, v) of the last non-null `c` at or before the row,
@@ -51,16 +74,8 @@ def carry_prev_next(df: DataFrame, keys: list[str], order: str, cols: list[str],
     out = df.withColumns(local)
 
     summary = df.groupBy(*keys, chunk).agg(*aggs)
-    s_part = Window.partitionBy(*keys)
-    s_prev = s_part.orderBy(F.col(chunk).asc()).rowsBetween(UNB, -1)
-    s_next = s_part.orderBy(F.col(chunk).desc()).rowsBetween(UNB, -1)
-    carried = []
-    for c in cols:
-        if prev:
-            carried.append(F.last(f"_cl_{c}", ignorenulls=True).over(s_prev).alias(f"_cp_{c}"))
-        if nxt:
-            carried.append(F.last(f"_cf_{c}", ignorenulls=True).over(s_next).alias(f"_cn_{c}"))
-    carry = summary.select(*keys, chunk, *carried)
+    carry = _carry_chunks(summary, keys, chunk, {f"_cp_{c}": f"_cl_{c}" for c in cols} if prev else {},
+                          {f"_cn_{c}": f"_cf_{c}" for c in cols} if nxt else {}, fan)
 
     out = out.join(carry, on=[*keys, chunk], how="left")
     final = {}
@@ -86,14 +101,19 @@ def forward_back_fill(df: DataFrame, keys: list[str], order: str, cols: list[str
 
 
 def sequence_index(df: DataFrame, keys: list[str], order: list[str], chunk: str,
-                   name: str = "seq") -> DataFrame:
-    """0-based ordinal of each row within its series, computed per chunk plus
-    the running count of the earlier chunks (two-level scan)."""
+                   name: str = "seq", fan: int = FAN) -> DataFrame:
+    """0-based ordinal of each row within its series: its ordinal in the chunk,
+    plus the counts of earlier chunks in its group of chunks and of the earlier
+    groups (three-level scan)."""
     local = df.withColumn("_rn", F.row_number().over(
         Window.partitionBy(*keys, chunk).orderBy(*order)) - 1)
     counts = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_cnt"))
-    offs = counts.select(*keys, chunk, F.coalesce(F.sum("_cnt").over(
-        Window.partitionBy(*keys).orderBy(chunk).rowsBetween(UNB, -1)), F.lit(0)).alias("_off"))
+    counts = counts.withColumn("_sup", F.floor(F.col(chunk) / fan).cast("long"))
+    tops = counts.groupBy(*keys, "_sup").agg(F.sum("_cnt").alias("_all"))
+    far = tops.select(*keys, "_sup", F.sum("_all").over(Window.partitionBy(*keys).orderBy("_sup").rowsBetween(UNB, -1)).alias("_far"))
+    near = F.sum("_cnt").over(Window.partitionBy(*keys, "_sup").orderBy(chunk).rowsBetween(UNB, -1))
+    offs = counts.withColumn("_near", near).join(far, [*keys, "_sup"]).select(
+        *keys, chunk, (F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0))).alias("_off"))
     return (local.join(offs, on=[*keys, chunk], how="left")
                  .withColumn(name, (F.col("_rn") + F.col("_off")).cast("long"))
                  .drop("_rn", "_off"))
