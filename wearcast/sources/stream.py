@@ -16,7 +16,8 @@ PIPELINE_TAGS = {RAW_TOPIC: "belt-raw-data", PRED_TOPIC: "belt-predictions"}
 
 
 def read_events_stream(spark: SparkSession, source: str, topics: list[str] | None = None,
-                       bootstrap: str | None = None, max_files: int | None = None) -> DataFrame:
+                       bootstrap: str | None = None, max_files: int | None = None,
+                       max_offsets: int = 200_000) -> DataFrame:
     """SRC-4: streaming DataFrame of raw payloads with an arrival key.
 
     * Kafka (`bootstrap` given): value as string, arrival = (partition, offset),
@@ -27,7 +28,8 @@ def read_events_stream(spark: SparkSession, source: str, topics: list[str] | Non
     topics = topics or [RAW_TOPIC]
     if bootstrap:
         k = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
-             .option("subscribe", ",".join(topics)).option("startingOffsets", "earliest").load())
+             .option("subscribe", ",".join(topics)).option("startingOffsets", "earliest")
+             .option("maxOffsetsPerTrigger", max_offsets).load())
         return k.select(F.col("value").cast("string").alias("value"), "topic",
                         (F.col("partition").cast("long") * F.lit(1 << 40) + F.col("offset")).alias("seq"))
     rs = spark.readStream.format("text")

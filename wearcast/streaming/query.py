@@ -2,10 +2,10 @@
 buffers (`applyInPandasWithState`) -> stream features -> safe-mode score
 -> alert bands -> sink, with a checkpoint for offsets and state.
 
-The stateful step is the only Python on executors: per belt it appends
-each event's value to the buffer of its sensor (at most 1440 values) and
-emits one row of window statistics per event once every sensor has 30
-values.  All formulas after it are the shared Column functions.
+The stateful step is the only Python on executors: per belt and trigger it
+appends the events' values to the buffers of their sensors (at most 1440
+values) and computes the window statistics of all rows at once over history
+and new values, one row per event once every sensor has 30 values.  All formulas after it are the shared Column functions.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..config import CORE_SENSORS, SHORT, WINDOWS, Thresholds
 from ..session import checkpoint_dir
-from ..sources.stream import read_events_stream
+from ..sources.stream import RAW_TOPIC, read_events_stream
 from .batch_form import READY, STAT_FIELDS, STAT_SENSORS, enrich, stream_feature_columns, stream_safe_mode
 from .normalize import normalize
 
@@ -34,64 +34,72 @@ STATS_SCHEMA = ", ".join(
 STATE_SCHEMA = "temp array<double>, elong array<double>, curr array<double>, total long"
 
 
-def _window_stats(arr: np.ndarray, idle: float, high: float) -> dict:
-    n = len(arr)
-    out = {"v": float(arr[-1]), "ord": n - 1}
+ROWS = 256  # windows that one numpy step holds
+
+
+def window_table(history: np.ndarray, new: np.ndarray, idle: float, high: float) -> dict[str, np.ndarray]:
+    """Statistics of one sensor's buffer before the first and after each of the
+    `new` values (len(new) + 1 rows); a row without any value is NaN."""
+    seen = np.concatenate([history, new]).astype(float)
+    end = len(history) + np.arange(len(new) + 1)            # values seen at each row
+    last = np.concatenate([np.full(MAXLEN, np.nan), seen])  # value `k` places back: last[end + MAXLEN - k]
+    out = {"v": last[end + MAXLEN - 1], "ord": np.minimum(end, MAXLEN) - 1}
     for lbl, w in WINDOWS.items():
-        a = arr[-w:]
-        m = len(a)
-        out[f"w{lbl}_mean"] = float(a.mean())
-        out[f"w{lbl}_std"] = float(a.std()) if m > 1 else 0.0
-        out[f"w{lbl}_min"] = float(a.min())
-        out[f"w{lbl}_max"] = float(a.max())
-        if m >= 2:
-            x = np.arange(m, dtype=float)
-            xc = x - x.mean()
-            out[f"w{lbl}_trend"] = float((xc * (a - a.mean())).sum() / (xc * xc).sum())
-        else:
-            out[f"w{lbl}_trend"] = 0.0
-    out["util_1h"] = float((arr[-60:] >= idle).mean())
-    out["util_6h"] = float((arr[-360:] >= idle).mean())
-    out["high_share_6h"] = float((arr[-360:] >= high).mean())
-    out["lag719"] = float(arr[-720]) if n >= 720 else None
-    out["lag59"] = float(arr[-60]) if n >= 60 else None
-    out["lag4"] = float(arr[-5]) if n >= 5 else None
+        stats = {k: np.full(len(end), np.nan) for k in ("mean", "std", "min", "max", "trend", "idle", "high")}
+        view = np.lib.stride_tricks.sliding_window_view(last[MAXLEN - w:], w)
+        x = np.arange(w, dtype=float)
+        for lo in range(0, len(end), ROWS):
+            at = np.arange(lo, min(lo + ROWS, len(end)))
+            at = at[end[at] > 0]
+            if not len(at):
+                continue
+            a = view[end[at]]
+            m = np.minimum(end[at], w).astype(float)
+            held = x[None, :] >= w - m[:, None]
+            mean = np.where(held, a, 0.0).sum(axis=1) / m
+            off = np.where(held, a - mean[:, None], 0.0)
+            xc = x[None, :] - (w - 1 - (m[:, None] - 1) / 2)
+            stats["mean"][at] = mean
+            stats["std"][at] = np.sqrt((off * off).sum(axis=1) / m)
+            stats["min"][at] = np.where(held, a, np.inf).min(axis=1)
+            stats["max"][at] = np.where(held, a, -np.inf).max(axis=1)
+            stats["trend"][at] = (xc * off).sum(axis=1) / np.where(m > 1, m * (m * m - 1) / 12, 1.0)
+            stats["idle"][at] = (held & (a >= idle)).sum(axis=1) / m
+            stats["high"][at] = (held & (a >= high)).sum(axis=1) / m
+        out.update({f"w{lbl}_{k}": stats[k] for k in ("mean", "std", "min", "max", "trend")})
+        if w == 60:
+            out["util_1h"] = stats["idle"]
+        elif w == 360:
+            out["util_6h"], out["high_share_6h"] = stats["idle"], stats["high"]
+    for name, back in (("lag719", 720), ("lag59", 60), ("lag4", 5)):
+        out[name] = last[end + MAXLEN - back]
     return out
 
 
 def make_update(th: Thresholds):
-    names = {s: SHORT[s] for s in CORE_SENSORS}
+    names = {SHORT[s]: s for s in CORE_SENSORS}
+    cols = [c.split()[0] for c in STATS_SCHEMA.split(", ")]
 
     def update(key, batches, state):
-        if state.exists:
-            t, e, c, total = state.get
-            bufs = {"temp": list(t), "elong": list(e), "curr": list(c)}
-        else:
-            bufs, total = {"temp": [], "elong": [], "curr": []}, 0
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values("ingest_seq", kind="stable")
-        rows = []
-        cache = {}
-        for rec in pdf.itertuples(index=False):
-            short = names.get(rec.sensorid)
-            if short is not None:
-                buf = bufs[short]
-                buf.append(float(rec.avg_value))
-                if len(buf) > MAXLEN:
-                    del buf[0]
-                cache.pop(short, None)
-            total += 1
-            if min(len(bufs[s]) for s in STAT_SENSORS) < READY:
-                continue
-            row = {"belt_id": key[0], "sensorid": rec.sensorid, "ingest_seq": rec.ingest_seq, "ts": rec.ts}
-            for s in STAT_SENSORS:
-                if s not in cache:
-                    cache[s] = _window_stats(np.asarray(bufs[s], dtype=float), th.idle_current, th.high_load)
-                for f, v in cache[s].items():
-                    row[f"{s}_{f}"] = v
-            rows.append(row)
-        state.update((bufs["temp"], bufs["elong"], bufs["curr"], total))
-        cols = [c.split()[0] for c in STATS_SCHEMA.split(", ")]
-        yield pd.DataFrame(rows, columns=cols)
+        held = dict(zip(STAT_SENSORS, state.get[:3], strict=True)) if state.exists else {s: [] for s in STAT_SENSORS}
+        total = state.get[3] if state.exists else 0
+        # a belt's events of one trigger; the source bounds what a trigger takes
+        events = pd.concat(list(batches), ignore_index=True).sort_values("ingest_seq", kind="stable", ignore_index=True)
+        out = {c: events[c] for c in ("sensorid", "ingest_seq", "ts")}
+        ready, buffers = np.ones(len(events), dtype=bool), []
+        for s in STAT_SENSORS:
+            own = (events["sensorid"] == names[s]).to_numpy()
+            history, new = np.array(held[s], dtype=float), events["avg_value"].to_numpy(dtype=float)[own]
+            table, row = window_table(history, new, th.idle_current, th.high_load), np.cumsum(own)
+            ready &= len(history) + row >= READY
+            out.update({f"{s}_{f}": table[f][row] for f in STAT_FIELDS})
+            buffers.append(np.concatenate([history, new])[-MAXLEN:].tolist())
+        state.update((*buffers, total + len(events)))
+        rows = pd.DataFrame(out)[ready]
+        rows.insert(0, "belt_id", key[0])
+        rows = rows.replace({np.nan: None}) if rows[[c for c in rows if "_lag" in c]].isna().any(axis=None) else rows
+        for lo in range(0, len(rows), 4 * ROWS):
+            yield rows.iloc[lo:lo + 4 * ROWS][cols]
 
     return update
 
@@ -103,7 +111,11 @@ def stats_to_structs(df: DataFrame) -> DataFrame:
 
 def build_stream(events: DataFrame, th: Thresholds) -> DataFrame:
     """Streaming plan from raw payloads (`value`, `seq`) to alert records."""
-    norm = normalize(events.withColumnRenamed("seq", "ingest_seq").drop("topic"))
+    # predictions travel on a topic of their own and are no readings; within the
+    # readings' topic (partition, offset) tells events apart
+    if "topic" in events.columns:
+        events = events.where(F.col("topic") == RAW_TOPIC).drop("topic")
+    norm = normalize(events.withColumnRenamed("seq", "ingest_seq"))
     stats = (norm.select("belt_id", "sensorid", "ingest_seq", "ts", "avg_value")
                  .groupBy("belt_id")
                  .applyInPandasWithState(make_update(th), STATS_SCHEMA, STATE_SCHEMA, "append",
