@@ -677,6 +677,11 @@ FROM sfa GROUP BY belt_id, strftime(ts, '%Y-%m-%d')""")
 SELECT belt_id, {risk} AS risk, {hband} AS health_band, {rband} AS rul_band, count(*) AS n,
   {q4('avg(ml_health)')} AS ml_health, {q4('avg(ml_rul_days)')} AS ml_rul_days,
   {q4('avg(failure_risk_score)')} AS failure_risk_score
+FROM sfa GROUP BY ALL""")
+    out["streaming_alert_counts"] = with_ctes(*ctes, body=f"""
+SELECT belt_id, {risk} AS risk, {hband} AS health_band, {rband} AS rul_band, count(*) AS n,
+  {q4('min(degradation_index)')} AS min_degradation, {q4('max(degradation_index)')} AS max_degradation,
+  {q4('avg(failure_risk_score)')} AS failure_risk_score, {q4('avg(degradation_index)')} AS degradation_index
 FROM sfa GROUP BY ALL""")
     out["topic_routing"] = with_ctes(*ctes, body=f"""
 SELECT 'belt-raw-data' AS pipeline, belt_id, count(*) AS n FROM readings WHERE sensorid IN ({CORE_LIST}) GROUP BY belt_id

@@ -356,6 +356,14 @@ def streaming_run(spark, sf):
     return Q.run_stream_over_events(spark, sf)
 
 
+def streaming_alert_counts(spark, sf):
+    """What the stateful stream emitted, per belt and alert class."""
+    a = streaming_run(spark, sf)
+    return a.groupBy("belt_id", "risk", "health_band", "rul_band").agg(
+        F.count(F.lit(1)).alias("n"), q4(F.min("degradation_index")).alias("min_degradation"),
+        q4(F.max("degradation_index")).alias("max_degradation"), q4(F.avg("failure_risk_score")).alias("failure_risk_score"), q4(F.avg("degradation_index")).alias("degradation_index"))
+
+
 def flagship(spark, sf):
     """Report per belt (safe mode): summary + operational risk + reasons +
     alert bands (bands classify the unrounded values; the emitted record
@@ -402,5 +410,6 @@ QUERIES = {
     "replay_rows": replay_rows,
     "train_score": train_score,
     "streaming_run": streaming_run,
+    "streaming_alert_counts": streaming_alert_counts,
     "flagship_report": flagship,
 }
