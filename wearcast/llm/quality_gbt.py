@@ -150,9 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality").cast(pa.int32()),
                                               pa.array([statistics(t) for t in texts(part)], type=pa.list_(pa.float64()))], schema=out)
 
-    got = rows.mapInArrow(step, schema).toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    x = np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, N_FEATURES)
-    return fit(x, got["quality"].to_numpy(dtype=np.float64))
+    got = rows.mapInArrow(step, schema).toArrow().combine_chunks()
+    # one row per document, in an order that does not depend on the partitions
+    order = np.unique(got.column("doc_id").to_numpy(), return_index=True)[1]
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES) if got.num_rows else np.zeros((0, N_FEATURES))
+    return fit(x[order], got.column("quality").to_numpy()[order].astype(np.float64))
 
 
 def with_score(docs: DataFrame, model: Trees, name: str) -> DataFrame:

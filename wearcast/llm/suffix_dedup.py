@@ -97,8 +97,8 @@ def bitmap_of(keys: DataFrame, bits: int = BITS):
     at = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
     words = keys.groupBy(F.shiftright(at, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 31 as int))")).alias("v"))
     out = np.zeros(1 << (bits - 5), dtype=np.uint32)
-    got = words.toPandas()                        # at most 2^(bits - 5) rows
-    out[got["w"].to_numpy(dtype=np.int64)] = got["v"].to_numpy(dtype=np.int64).astype(np.uint32)
+    got = words.toArrow()                         # at most 2^(bits - 5) rows of two numbers
+    out[got.column("w").to_numpy()] = got.column("v").to_numpy().astype(np.uint32)
     return keys.sparkSession.sparkContext.broadcast(out.view(np.uint8))
 
 
