@@ -243,7 +243,7 @@ def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def step(batch, codec):
-        ids = codec.encode_batch([t.decode() for t in texts(batch)])
+        ids = codec.encode_batch([t.decode("utf-8", "replace") for t in texts(batch)])
         sizes = np.array([0, *(len(x) // 4 for x in ids)])
         flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), type=pa.int32()), flat)
@@ -270,7 +270,7 @@ def round_trip_digests(docs: DataFrame, vocab_path: str) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def step(batch, codec):
-        ids = codec.encode_batch([t.decode() for t in texts(batch)])
+        ids = codec.encode_batch([t.decode("utf-8", "replace") for t in texts(batch)])
         return record(out, batch.column("doc_id"), [len(x) // 4 for x in ids],
                       [hashlib.sha256(x).hexdigest() for x in ids],
                       [hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in ids])

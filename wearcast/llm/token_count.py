@@ -127,7 +127,8 @@ def count_tokens(docs: DataFrame, ranks_path: str, chunk: int = CHUNK, overlap:
     def step(batch, encoder):
         n_bytes, n_tokens, widened = [], [], []
         for data in texts(batch):
-            n, w = count_long(data, encoder, chunk, overlap) if len(data) > chunk else (encoder.count(data.decode()), 0)
+            text = data.decode("utf-8", "replace")      # bytes that are no UTF-8 count as U+FFFD
+            n, w = count_long(text.encode(), encoder, chunk, overlap) if len(data) > chunk else (encoder.count(text), 0)
             n_bytes.append(len(data)), n_tokens.append(n), widened.append(w)
         return record(out, batch.column("doc_id"), n_bytes, n_tokens, widened)
 
