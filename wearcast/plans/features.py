@@ -1,5 +1,5 @@
 """Batch feature table: clean -> minute grid -> wide -> windows -> scalars
--> condition state -> targets -> finalise (the whole of `FeatureEngineer.run`).
+-> condition state -> targets -> finalise.
 
 Internal column names avoid `/` and `@` (`temp_6h_mean`, `ts`); use
 `to_external` at the output edge for the reference's names.
