@@ -218,10 +218,10 @@ def build_features(readings: DataFrame, spark: SparkSession, th: Thresholds | No
     df = scalar_features(df, th, "batch")
     df = condition_features(df)
     df = target_features(df, belts_table(spark, belts), th)
-    if fill:
-        df = materialize(df)
-        fill = has_gaps(df)
-    return finalize(df, fill)
+    if not fill:
+        return finalize(df, False)
+    df = materialize(df)
+    return materialize(finalize(df)) if has_gaps(df) else finalize(df, False)
 
 
 FEATURE_ORDER_HEAD = ["belt_id", "ts", "mi"]

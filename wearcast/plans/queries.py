@@ -45,13 +45,13 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     return read_events_as_readings(spark, sf)
 
 
-def _memo(spark: SparkSession, sf: str, name: str, build):
+def _memo(spark: SparkSession, sf: str, name: str, build, save: bool = True):
     """Tables shared by several queries are built once per application and
     kept as materialised Parquet in the checkpoint folder, for as long as the
     events they come from are the same files."""
     key = (spark.sparkContext.applicationId, name, _state(spark, events_path(sf)))
     if key not in _MEMO:
-        _MEMO[key] = materialize(build())
+        _MEMO[key] = materialize(build()) if save else build()
     return _MEMO[key]
 
 
@@ -70,7 +70,8 @@ def means(spark: SparkSession, sf: str) -> DataFrame:
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """The batch feature table for one scale factor."""
     return _memo(spark, sf, "features",
-                 lambda: FE.build_features(readings(spark, sf), spark, belts=FIXTURE_BELTS, means=means(spark, sf)))
+                 lambda: FE.build_features(readings(spark, sf), spark, belts=FIXTURE_BELTS, means=means(spark, sf)),
+                 save=False)  # built from a stored table already
 
 
 def daily(df: DataFrame, cols: list[str], extra: list[Column] | None = None) -> DataFrame:
