@@ -52,6 +52,38 @@ def test_license_order(spark):
         ("MIT", ""), ("MIT", ""), ("", "mit-notice"), ("Apache-2.0", "mit-asis")]
 
 
+def test_license_wrapped(spark):
+    """Licence texts as they stand in files: wrapped, indented, in comments; expected values written out."""
+    import textwrap
+
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+           "in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n"
+           "copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\n"
+           "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n"
+           "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\n"
+           "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS BE LIABLE.")
+    apache = ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n"
+              "    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\n"
+              "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.")
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+           "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+           "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.")
+    gpl = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n"
+           "(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY.\n\n"
+           "You should have received a copy of the GNU General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>.")
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one."
+    want = {"MIT": (mit, "mit-grant,mit-notice,mit-asis"), "Apache-2.0": (apache, "apache2-ref,apache2-compliance,apache2-copy,apache2-asis"),
+            "BSD-2-Clause": (bsd, "bsd-grant,bsd-source,bsd-binary"), "GPL-3.0-or-later": (gpl, "gpl-free,gpl-warranty,gpl-copy"), "MPL-2.0": (mpl, "mpl2-ref")}
+    shapes = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: textwrap.indent(t, " * ", lambda _: True), lambda t: textwrap.indent(t, "# ", lambda _: True),
+              lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n"))]
+    rows = [(name, shape(text), ids) for name, (text, ids) in want.items() for shape in shapes]
+    df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id long, text string")
+    out = license_scan.scan(df).orderBy("doc_id").collect()
+    assert [(r.licenses, r.identifiers, r.unmatched) for r in out] == [(name, ids, "") for name, _, ids in rows]
+    apart = spark.createDataFrame([(1, "All rights\n\nreserved."), (2, "All. Rights reserved."), (3, "MIT License\nCopyright X\nAll rights reserved.")], "doc_id long, text string")
+    assert [r.identifiers for r in license_scan.scan(apart).orderBy("doc_id").collect()] == ["", "", "mit-ref,all-rights"]
+
+
 # -------------------------------------------------------- 2 suffix dedup --
 @pytest.mark.parametrize("batches,group", [(1, 20_000), (3, 20_000), (4, 1)])
 def test_repeats(docs, rows, batches, group):

@@ -1,9 +1,13 @@
 """License scans: sentence-rule recognition, DataFrame operations only.
 
-A text is cut into sentences (at line ends and behind . ! ? ; : before white
+A text is cut into pieces (at line ends and behind . ! ? ; : before white
 space), each is normalised (A-Z lower-cased, all but a-z and 0-9 one space),
-and known licence sentences become identifiers.  The row of a text's
-identifiers, unknown sentences left out, is matched against ordered rules: a
+and known licence sentences become identifiers.  A known sentence stands from
+the start of a piece to the end of the same or a later one: it may be wrapped
+over lines, with comment marks before them, but not over a blank line, and it
+may be cut where it has such a cut itself.  Where several sentences start, the
+longest is taken; a sentence whose parts are all known gives those of its parts.
+The row of a text's identifiers, unknown sentences left out, is matched against ordered rules: a
 rule is a row of adjacent identifiers; rules are tried in order, what a rule
 matches is taken out, and what no rule takes stays as unmatched.
 
@@ -19,7 +23,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: sentences of public licence texts and references, by identifier
@@ -77,6 +81,7 @@ RULES = [
 ANCHORS = ["licen", "reserved", "permi", "warrant", "redistribut", "copyright"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CUT, BREAK = r"([.!?;:])[ \t\r\n]+", "\n"
+WRAP, END = "\n", "\x02"      # in a normalised text: an end of line, and a cut or a blank line
 
 
 def normalise(sentence: str) -> str:
@@ -96,6 +101,27 @@ def known(sentences: dict[str, list[str]]) -> dict[str, str]:
     return table
 
 
+def finder(sentences: dict[str, list[str]]) -> str:
+    """Pattern of all known sentences in a text of `normalised`, the longest first."""
+    cut = {}
+    for v in (v for variants in sentences.values() for v in variants):
+        parts = [n for p in re.sub(CUT, r"\1" + BREAK, v).split(BREAK) if (n := normalise(p))]
+        cut[" ".join(parts)] = parts
+    rows = []
+    for whole, parts in cut.items():
+        between = " " if len(parts) > 1 and all(p in cut for p in parts) else f"[ {WRAP}{END}]"
+        rows.append((len(whole), between.join(p.replace(" ", f"[ {WRAP}]") for p in parts)))
+    return f"(?<=[{WRAP}{END}])(?:" + "|".join(p for _, p in sorted(rows, reverse=True)) + f")(?=[{WRAP}{END}])"
+
+
+def normalised(text: Column) -> Column:
+    """The normalised text in a frame of END; its pieces are parted by WRAP or END."""
+    cut = F.regexp_replace(F.translate(text, END, "-"), CUT, f"$1{END}")
+    plain = F.regexp_replace(F.translate(cut, UPPER, LOWER), f"[^a-z0-9{WRAP}{END}]+", " ")
+    ends = F.regexp_replace(F.concat(F.lit(END), plain, F.lit(END)), f"[ {WRAP}]*(?:{END}|{WRAP}[ {WRAP}]*{WRAP})[ {WRAP}{END}]*", END)
+    return F.regexp_replace(ends, f" ?{WRAP} ?", WRAP)
+
+
 def scan(docs: DataFrame, sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """(doc_id, n_sentences, identifiers, licenses, unmatched): known sentences
     found, their identifiers in order, the licences whose rules matched in
@@ -106,10 +132,8 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] = SENTENCES, rules: li
     may = F.lit(False)
     for a in ANCHORS:
         may = may | F.contains(lower, F.lit(a))
-    lines = F.split(F.regexp_replace("text", CUT, "$1\n"), "\n", -1)
-    # the longest known sentence bounds what has to be normalised; blanks may pad a sentence
-    ids = F.filter(F.transform(lines, lambda s: F.try_element_at(lookup, F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))),
-                   lambda x: x.isNotNull())
+    matches = F.regexp_extract_all(normalised(F.col("text")), F.lit(finder(sentences)), F.lit(0))
+    ids = F.transform(matches, lambda s: F.element_at(lookup, F.translate(s, WRAP + END, "  ")))
     found = docs.select("doc_id", F.when(may, ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     found = found.select("doc_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     rest = F.concat(F.lit(","), F.array_join(F.col("ids"), ",,"), F.lit(","))
@@ -128,7 +152,8 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] = SENTENCES, rules: li
 
 
 def oracle_sql() -> str:
-    """The same result in DuckDB SQL over `documents` (doc_id unique)."""
+    """The result in DuckDB SQL over `documents` (doc_id unique) where each known
+    sentence stands in one piece: sentences over several pieces are not joined here."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in known(SENTENCES).items())
     steps, prev = [], "seq"
