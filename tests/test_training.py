@@ -21,3 +21,17 @@ def test_train_save_load_score(spark, tmp_path):
     pred = TR.predict_pair(feats.limit(50), h, r)
     assert pred.where("ml_health_pred IS NULL").count() == 0
     assert TR.load_models(str(tmp_path / "absent")) is None
+
+
+def test_registered_query_trains_the_shipped_model(spark, monkeypatch):
+    from wearcast.config import MODEL_PARAMS
+
+    seen, fit = [], TR.fit_pair
+
+    def small(train, feats, params):
+        seen.append(dict(params))
+        return fit(train, feats, {**params, "n_estimators": 2, "max_depth": 2})
+    monkeypatch.setattr(TR, "fit_pair", small)
+    Q.train_score(spark, SF_SMALL)
+    full, fold = dict(MODEL_PARAMS), {**MODEL_PARAMS, "n_estimators": MODEL_PARAMS["cv_n_estimators"]}
+    assert seen == [full, *[fold] * MODEL_PARAMS["cv_folds"], full]
