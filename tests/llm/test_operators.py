@@ -275,6 +275,29 @@ def test_decontamination(spark, docs, rows, odd, empty, query_bytes):
     assert {r.contaminated for r in decontam.digest(decontam.find_contamination(docs, bench.limit(0))).collect()} == {False}
 
 
+def test_decontamination_repeated_rows_in_parts(spark, odd):
+    """Equal blocks (one a partition) and several parts of the test set: every row comes back for itself."""
+    text = " ".join(f"word{i}" for i in range(80))
+    bench = spark.createDataFrame([(1, text), (2, " ".join(text.split()[20:40])), (3, "other words " * 20)], "item_id long, text string")
+    twice = odd.repartition(1).union(odd.repartition(1)).union(odd.where("doc_id is null and text = ''"))
+    one, parts = (got(decontam.digest(decontam.find_contamination(twice, bench, query_bytes=n))) for n in (decontam.QUERY_BYTES, 300))
+    assert len(one) == 17 and parts == one
+    same(one, brute.contamination([tuple(r) for r in twice.collect()], [tuple(r) for r in bench.collect()]))
+
+
+def test_proximity_at_borders(spark):
+    docs = spark.createDataFrame([(1, "xx aa yy"), (2, "aa bb dd cc"), (3, "aa bb cc xx"), (4, "dd xx yy zz"), (5, "yy zz aa"), (6, "bb cc dd xx")], "doc_id long, text string")
+    item = spark.createDataFrame([(9, "aa bb cc dd")], "item_id long, text string")
+    found = {r.doc_id: r for r in decontam.find_contamination(docs.repartition(1).sortWithinPartitions("doc_id"), item, slop=1).collect()}
+    # a term displaced inside the document counts, the neighbouring document's does not
+    assert {d for d, r in found.items() if r["items"]} == {2}
+    assert all(0 <= a < b <= r.n_words for r in found.values() for a, b in zip(r.starts, r.ends, strict=True))
+    # the window beside the rarest term begins before the text, or ends behind it
+    more = spark.createDataFrame([(1, "bb aa"), (2, "aa bb"), (3, "bb")], "doc_id long, text string").repartition(1)
+    pair = spark.createDataFrame([(9, "aa bb")], "item_id long, text string")
+    assert {r.doc_id for r in decontam.find_contamination(more, pair, slop=2).collect() if r["items"]} == {1, 2}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "zero aa bb cc dd end"), (2, "aa bb x cc dd"), (3, "aa x y cc bb dd"), (4, "dd cc")], "doc_id long, text string")
     item = spark.createDataFrame([(9, "aa bb cc dd")], "item_id long, text string")

@@ -11,7 +11,8 @@ folder and serves any number of test sets.
 terms of a window are ordered by their number of postings, the list of the
 rarest gives the starts, and these are intersected with the offset-adjusted
 lists of the other terms.  slop = 0 finds exact phrases; slop = s finds windows
-whose terms each stand at most s words from their place beside the rarest.
+whose terms each stand at most s words from their place beside the rarest, in
+the same document; the hit range is the window beside the rarest, cut to it.
 
 The test set is read in parts of at most QUERY_BYTES (each part is checked
 against the bound before it goes to the executors); all parts meet all blocks.
@@ -26,11 +27,13 @@ columns are not read; empty tables give empty results (no items: no hits).
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,20 +63,22 @@ def build_index(docs: DataFrame, scratch: Scratch, name: str = "index") -> DataF
     def one(values, kind):
         return pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), pa.array(values, type=kind))
 
-    def step(batch):
+    def numbers():
+        # unique over the table, which is written once: 2^30 blocks for each task
+        return itertools.count(TaskContext.get().partitionId() << 30)
+
+    def step(batch, numbers):
         found = [words(t) for t in texts(batch)]
         h = term_hashes([w for ws in found for w in ws])
         order = np.argsort(h, kind="stable").astype(np.int32)
         terms, firsts = np.unique(h[order], return_index=True)
         ends = np.append(firsts[1:], len(h)) if len(h) else firsts
         ids = batch.column("doc_id")
-        # any number that tells blocks apart
-        block = xxhash.xxh3_64_intdigest(h.tobytes() + str(ids.to_pylist()).encode(), seed=batch.num_rows) >> 1
-        return record(out, [block], pa.ListArray.from_arrays(pa.array([0, len(ids)], type=pa.int32()), ids),
+        return record(out, [next(numbers)], pa.ListArray.from_arrays(pa.array([0, len(ids)], type=pa.int32()), ids),
                       one(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.int32()),
                       one(terms, pa.int64()), one(ends.astype(np.int32), pa.int32()), one(order, pa.int32()))
 
-    made = map_batches(utf8(docs), step, INDEX)
+    made = map_batches(utf8(docs), step, INDEX, start=numbers)
     made.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(scratch.path(name))
     return docs.sparkSession.read.schema(INDEX).parquet(scratch.path(name))
 
@@ -99,11 +104,12 @@ class TestSet:
         col = np.arange(len(flat)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.terms[np.repeat(np.arange(len(rows)), self.sizes), col] = at
 
-    def find(self, terms, ends, positions, n_words: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, start) of all places in one block, documents' borders aside."""
+    def find(self, terms, ends, positions, doc_starts, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, start, document) of all places in one block, each within one document;
+        with slop, a start may lie before the document."""
         none = np.zeros(0, dtype=np.int64)
         if not len(self.vocabulary) or not len(terms):
-            return none, none
+            return none, none, none
         at = np.minimum(np.searchsorted(terms, self.vocabulary), len(terms) - 1)
         there = terms[at] == self.vocabulary
         begin = np.where(there, np.where(at > 0, ends[at - 1], 0), 0).astype(np.int64)
@@ -112,7 +118,7 @@ class TestSet:
         n = np.where(used, count[self.terms], np.iinfo(np.int64).max)
         live = np.flatnonzero(n.min(axis=1) > 0) if len(n) else none
         if not len(live):
-            return none, none
+            return none, none, none
         order = np.argsort(n[live], axis=1, kind="stable")           # rarest first
         # sorted (term, position) of the vocabulary's lists, for all windows at once
         total = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -123,19 +129,22 @@ class TestSet:
         win = np.repeat(live, count[t])
         slot = np.repeat(np.arange(len(live)), count[t])
         inner = np.arange(len(win)) - np.repeat(np.cumsum(count[t]) - count[t], count[t])
-        start = (listed[off[self.terms[win, first[slot]]] + inner] & 0xFFFFFFFF) - first[slot]
+        rarest = listed[off[self.terms[win, first[slot]]] + inner] & 0xFFFFFFFF
+        start = rarest - first[slot]
+        doc = np.searchsorted(doc_starts, rarest, side="right") - 1
         for k in range(1, self.terms.shape[1]):
-            ok = (start >= 0) & (start + self.sizes[win] <= n_words)
-            win, slot, start = win[ok], slot[ok], start[ok]
+            low, high = doc_starts[doc].astype(np.int64), doc_starts[doc + 1].astype(np.int64)
+            if not slop:                                             # no term can be displaced into the document
+                ok = (start >= low) & (start + self.sizes[win] <= high)
+                win, slot, start, doc, low, high = win[ok], slot[ok], start[ok], doc[ok], low[ok], high[ok]
             col = order[slot, k]
             term = self.terms[win, col]
-            want = (term << 32) + start + col
-            low = np.minimum(np.searchsorted(listed, np.where(term >= 0, want - slop, 0)), len(listed) - 1)
-            near = (listed[low] >= want - slop) & (listed[low] <= want + slop) & (listed[low] >> 32 == term)
-            ok = (term < 0) | near
-            win, slot, start = win[ok], slot[ok], start[ok]
-        ok = (start >= 0) & (start + self.sizes[win] <= n_words)
-        return win[ok], start[ok]
+            least = (term << 32) + np.maximum(start + col - slop, low)
+            most = (term << 32) + np.minimum(start + col + slop, high - 1)
+            at = np.minimum(np.searchsorted(listed, np.where(term >= 0, least, 0)), len(listed) - 1)
+            ok = (term < 0) | ((least <= most) & (listed[at] >= least) & (listed[at] <= most))
+            win, slot, start, doc = win[ok], slot[ok], start[ok], doc[ok]
+        return win, start, doc
 
 
 def search(index: DataFrame, tests: TestSet, slop: int = 0, all_rows: bool = True) -> DataFrame:
@@ -153,12 +162,10 @@ def search(index: DataFrame, tests: TestSet, slop: int = 0, all_rows: bool = Tru
                 get = lambda name: batch.column(name)[i].values  # noqa: E731, B023
                 doc_starts = get("doc_starts").to_numpy()
                 ids = get("doc_ids")
-                win, start = test.find(get("terms").to_numpy(), get("term_ends").to_numpy(), get("positions").to_numpy(),
-                                       int(doc_starts[-1]), slop)
-                doc = np.searchsorted(doc_starts, start, side="right") - 1
-                end = start + test.sizes[win]
-                ok = end <= doc_starts[doc + 1] if len(doc) else np.zeros(0, dtype=bool)
-                win, start, end, doc = win[ok], start[ok], end[ok], doc[ok]
+                win, start, doc = test.find(get("terms").to_numpy(), get("term_ends").to_numpy(), get("positions").to_numpy(),
+                                            doc_starts, slop)
+                end = np.minimum(start + test.sizes[win], doc_starts[doc + 1])
+                start = np.maximum(start, doc_starts[doc])
                 by_doc: dict[int, tuple[list, list, set]] = {}
                 order = np.lexsort((end, start, doc))
                 for d, w, a, b in zip(doc[order].tolist(), win[order].tolist(), start[order].tolist(), end[order].tolist(), strict=True):
