@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator():
     names = [n for n in E.queries() if n[:2] == "op" and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))

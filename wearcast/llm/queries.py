@@ -3,13 +3,18 @@ columns of its contract."""
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 
 from . import (
     bpe_codec,
+    chat_format,
     decontam,
+    importance,
     license_scan,
     minhash,
+    periodic_runs,
     quality_gbt,
     secret_scan,
     spotsigs,
@@ -71,6 +76,35 @@ def op10_decontam(spark, sf):
     return decontam.digest(decontam.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
 
 
+def with_planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of op11's contract: of one doc_id in ten the last words repeat with a period."""
+    number = zlib.crc32(str(doc_id).encode()) if doc_id is not None and words else 1
+    if number % 10:
+        return words
+    g, n = number // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * -(-(n - a) // p))[:n - a]
+
+
+def op11_periodic_runs(spark, sf):
+    return periodic_runs.digest(periodic_runs.find_runs(table(spark, sf, "documents"), edit=with_planted_period))
+
+
+def op12_importance(spark, sf):
+    return importance.digest(importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+
+
+PLANTED_CHAT = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op13_chat_format(spark, sf):
+    told = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    told = told.unionByName(spark.createDataFrame(PLANTED_CHAT, "conv_id long, turn long, role string, text string"))
+    messages = told.select("conv_id", "turn", "role", chat_format.text_part(told.text).alias("parts"))
+    return chat_format.digest(chat_format.read_back(chat_format.format_chat(messages)))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -82,9 +116,13 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_secret_scan": op9_secret_scan,
     "op10_decontam": op10_decontam,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_importance": op12_importance,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLE: dict[str, str] = {
     "op1_license_scan": license_scan.oracle_sql(),
     "op6_url_filter": url_filter.oracle_sql(URL_RULES),
+    "op13_chat_format": chat_format.oracle_sql(PLANTED_CHAT),
 }
