@@ -2,10 +2,14 @@
 long, equal and near-equal texts, clashing columns, repeated rows and no rows."""
 
 import hashlib
+import math
+import re
+import string
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wearcast.llm import (
@@ -142,8 +146,6 @@ def test_spotsigs_odd_rows(spark, odd, empty):
 
 
 def test_spotsigs_pairs(spark, docs, rows):
-    from pyspark.sql import functions as F
-
     sets = docs.select("doc_id", spotsigs.signatures(F.col("text")).alias("signature"))
     plain = {d: frozenset(brute.signatures(t)) for d, t in rows}
     first = {}
@@ -261,6 +263,60 @@ def test_secret_models_and_redaction(spark):
     assert all("[secret] end" in clean[i].text for i in range(200))
 
 
+def plain_markov(text, model):
+    """(start, end) of the tokens that the model takes for random, by plain Python."""
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=\-]|[^\x00-\x7F])[A-Za-z0-9+/_=\-]{8,}(?![A-Za-z0-9+/_=\-]|[^\x00-\x7F])", text):
+        v = m[0]
+        if len(v) < 16 and re.fullmatch("[A-Za-z][a-z]*", v):
+            continue
+        one = v.upper() == v or v.lower() == v
+        w = "\x02" + (v.lower() if one else v) + "\x03"
+        total = sum(model.ratios[128 * ord(a) + ord(b)] for a, b in zip(w, w[1:], strict=False))
+        if one:
+            total += max(0.0, sum(c.isalpha() for c in v) * math.log(2) - math.log(3))
+        if total > model.thresholds[sum(len(v) >= n for n in secret_scan.LENGTHS[1:])]:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_secret_spans_of_the_models(spark):
+    """Spans against plain Python; recall on unseen keys; few false spans."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secret_scan.train(docs)
+    rng = np.random.default_rng(11)
+    alphabets = {"base62": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "letters": string.ascii_letters}
+    keys = [(k, n, "".join(rng.choice(list(a), n))) for k, a in alphabets.items() for n in (8, 12, 16, 20, 24, 32) for _ in range(100)]
+    texts = [f"é see {w} é{w} {w}é ({w}), x" for _, _, w in keys] + ["HEITKEIT 555-0216 4713332104704538 2024-01-01 thatinganding", "é" * 9, "abcdefgh"]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r[secret_scan.SPANS] if s.kind == 3] for r in secret_scan.scan(made, model).collect()}
+    for i, t in enumerate(texts):
+        base = [tuple(map(int, x.split(":")[1:])) for x in brute.secrets(t).split(",") if x]
+        assert found[i] == [s for s in plain_markov(t, model) if all(s[1] <= a or b <= s[0] for a, b in base)], t
+    for k in alphabets:
+        for n in (8, 12, 16, 20, 24, 32):
+            hit = [len(found[i]) == 2 for i, (a, m, _) in enumerate(keys) if (a, m) == (k, n)]
+            assert np.mean(hit) >= 0.9, (k, n)
+    assert found[len(keys)] == []
+    spans = secret_scan.scan(docs, model).select(F.explode(secret_scan.SPANS).alias("s")).where("s.kind = 3").count()
+    assert spans <= 4      # 10 a million words
+
+
+def test_secret_ratios_back_off():
+    ratios = secret_scan.ratios_from({}, {128 * 2 + ord("t"): 50, 128 * ord("t") + ord("h"): 50, 128 * ord("h") + 3: 50})
+    assert len(ratios) == 128 * 128 and all(math.isfinite(r) for r in ratios)
+    at = lambda a, b: ratios[128 * ord(a) + ord(b)]
+    assert at("t", "h") < 0 < at("t", "q") and at("5", "7") < 0 and at("5", "7") == at("0", "1")
+
+
+def test_secret_in_a_long_text(spark):
+    text = "the cat sat on the mat and ran " * 60_000 + "qT7xW9pL2zR8vK4m end"
+    docs = spark.createDataFrame([(1, text), (2, "the cat sat on the mat and ran home"), (3, "then they that cat mate ran")], "doc_id long, text string")
+    model = secret_scan.train(docs)
+    r = secret_scan.redact(docs, model).where("doc_id = 1").first()
+    assert r.text == "the cat sat on the mat and ran " * 60_000 + "[secret] end"
+
+
 # ------------------------------------------------------------ 10 decontam --
 @pytest.mark.parametrize("query_bytes", [decontam.QUERY_BYTES, 300])
 def test_decontamination(spark, docs, rows, odd, empty, query_bytes):

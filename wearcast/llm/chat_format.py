@@ -148,10 +148,14 @@ def digest(read: DataFrame) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def sql_rows(rows: list[tuple[int, int, str, str]]) -> str:
+    """Rows (conv_id, turn, role, text without quotes and backslashes) for VALUES."""
+    return ", ".join(f"(CAST({c} AS BIGINT), CAST({t} AS BIGINT), '{r}', '{x}')" for c, t, r, x in rows)
+
+
 def oracle_sql(planted: list[tuple[int, int, str, str]]) -> str:
     """DuckDB SQL for the digests of `conversations` and the planted rows."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    more = ", ".join(f"({c}, {t}, {quote(r)}, {quote(x)})" for c, t, r, x in planted)
+    more = sql_rows(planted)
     grown = lambda c: f"(length({c}) + length(regexp_replace({c}, '[^\\\\]', '', 'g')) + len(regexp_extract_all({c}, '<\\||</?s>|<</?SYS>>|\\[/?INST\\]')))"
     return f"""
     WITH told AS (
