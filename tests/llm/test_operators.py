@@ -310,11 +310,10 @@ def test_secret_ratios_back_off():
 
 
 def test_secret_in_a_long_text(spark):
-    text = "the cat sat on the mat and ran " * 60_000 + "qT7xW9pL2zR8vK4m end"
-    docs = spark.createDataFrame([(1, text), (2, "the cat sat on the mat and ran home"), (3, "then they that cat mate ran")], "doc_id long, text string")
-    model = secret_scan.train(docs)
-    r = secret_scan.redact(docs, model).where("doc_id = 1").first()
-    assert r.text == "the cat sat on the mat and ran " * 60_000 + "[secret] end"
+    line = "those cattle rested there while several others kept running towards another meadow "
+    docs = spark.createDataFrame([(1, line * 25_000 + "qT7xW9pL2zR8vK4m end"), (2, line), (3, line.upper() + line)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in secret_scan.redact(docs, secret_scan.train(docs)).collect()}
+    assert out == {1: line * 25_000 + "[secret] end", 2: line, 3: line.upper() + line}
 
 
 # ------------------------------------------------------------ 10 decontam --
