@@ -143,7 +143,9 @@ def samples(docs: DataFrame) -> DataFrame:
     random = scanned.select(F.explode("base.value").alias("value")).distinct()
     # base spans are cut out before the rest is taken apart
     rest = F.when(F.size("base") > 0, F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")).otherwise(F.col("text"))
-    words = scanned.select(F.xxhash64("text").alias("in"), F.explode(F.split(rest, PARTS)).alias("value")).where(F.length("value") >= FOUR)
+    # the hash first: behind the explode it would be taken anew for every word
+    words = scanned.select(F.xxhash64("text").alias("in"), F.split(rest, PARTS).alias("parts")) \
+        .select("in", F.explode("parts").alias("value")).where(F.length("value") >= FOUR)
     ordinary = words.groupBy("value").agg(F.min("in").alias("a"), F.max("in").alias("b")).where((F.col("a") < F.col("b")) & F.rlike("value", F.lit(f"^[{CHARACTERS}]+$")))
     return random.select(F.lit(1).alias("label"), "value").unionByName(ordinary.select(F.lit(0).alias("label"), "value")) \
         .withColumn("held", F.xxhash64("value").bitwiseAND(F.lit(1)) == 1)
