@@ -683,6 +683,29 @@ SELECT belt_id, {risk} AS risk, {hband} AS health_band, {rband} AS rul_band, cou
   {q4('min(degradation_index)')} AS min_degradation, {q4('max(degradation_index)')} AS max_degradation,
   {q4('avg(failure_risk_score)')} AS failure_risk_score, {q4('avg(degradation_index)')} AS degradation_index
 FROM sfa GROUP BY ALL""")
+    out["stream_routed"] = f"""
+WITH n AS (
+  SELECT CASE WHEN {k} >= 6 THEN 'belt-' || CAST(user_id % 4 AS VARCHAR) ELSE 'belt-1' END AS belt_id, {SENSOR_CASE} AS sensorid, event_id,
+    event_type = 'error' OR (event_type = 'signup' AND {k} < 50) AS bad
+  FROM events),
+seen AS (
+  SELECT belt_id, {", ".join(f"sum(CAST(sensorid = '{s}' AS INTEGER)) OVER w AS {SHORT[s]}" for s in CORE_SENSORS)}
+  FROM n WHERE NOT bad WINDOW w AS (PARTITION BY belt_id ORDER BY event_id))
+SELECT 'belt-raw-data' AS sink, CASE WHEN bad THEN '' ELSE belt_id END AS belt_id, count(*) AS n FROM n GROUP BY ALL
+UNION ALL SELECT 'belt-predictions', belt_id, count(*) FROM seen WHERE temp >= 30 AND elong >= 30 AND curr >= 30 GROUP BY belt_id
+UNION ALL SELECT 'belt-bad-records', '', count(*) FROM n WHERE bad HAVING count(*) > 0"""
+    deg = "coalesce(degradation_index, 0.0)"
+    days = clip(f"{D(2000)} - {D(330)} * failure_proximity", 0, TH.baseline_rul_days)
+    share = clip(f"{D(1)} - ({D(0.08)} * {deg} + {D(0.03)} * warning_count + {D(0.08)} * critical_count)", 0.65, 1)
+    blend = clip(f"{D(0.7)} * {clip(f'{D(100)} - {D(45)} * degradation_index', 0, 100)} + {D(0.3)} * ({D(100)} * f_rul / {D(TH.baseline_rul_days)})", 0, 100)
+    m_risk, m_health, m_rul = alert_case("f_health", "f_rul")
+    out["stream_model_alerts"] = with_ctes(*ctes, body=f"""
+SELECT belt_id, {m_risk} AS risk, {m_health} AS health_band, {m_rul} AS rul_band,
+  CASE WHEN f_rul < 50 OR f_health < 40 THEN 'LOW' ELSE 'HIGH' END AS confidence_level, 'ok' AS prediction_status, count(*) AS n,
+  CAST(sum(CAST({deg} > {D(0.6)} AND elong_trend_6h > {D(0.01)} AS INTEGER)) AS BIGINT) AS n_early,
+  {q4(f"avg({clip(f'{D(0.5)} * critical_count + {D(0.3)} * warning_count + {D(0.4)} * {deg}', 0, 5)})")} AS failure_risk_score,
+  round(avg(f_health)) AS ml_health, round(avg(f_rul)) AS ml_rul_days
+FROM (SELECT *, {blend} AS f_health FROM (SELECT *, {days} * {share} AS f_rul FROM sfa)) GROUP BY ALL""")
     out["topic_routing"] = with_ctes(*ctes, body=f"""
 SELECT 'belt-raw-data' AS pipeline, belt_id, count(*) AS n FROM readings WHERE sensorid IN ({CORE_LIST}) GROUP BY belt_id
 UNION ALL

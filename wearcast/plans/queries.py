@@ -358,6 +358,60 @@ def streaming_alert_counts(spark, sf):
         q4(F.max("degradation_index")).alias("max_degradation"), q4(F.avg("failure_risk_score")).alias("failure_risk_score"), q4(F.avg("degradation_index")).alias("degradation_index"))
 
 
+def _stream_job(spark, payloads, store=None, max_offsets=200_000):
+    """The whole streaming job over payloads(key, seq, value): topic folder in, tables out."""
+    from ..sources.stream import RAW_TOPIC
+    from ..sources.topics import append_topic, read_topics
+    from ..streaming import job as J
+    base = f"{checkpoint_dir(spark)}/stream-job/{uuid.uuid4().hex}"
+    append_topic(payloads, f"{base}/topics", RAW_TOPIC)
+    events = read_topics(spark, f"{base}/topics", [RAW_TOPIC], f"{base}/progress", max_offsets)
+    q = J.start(events, J.Routes(f"{base}/out", TH, store), f"{base}/checkpoint")
+    q.processAllAvailable()
+    q.stop()
+    return f"{base}/out"
+
+
+def stream_routed(spark, sf):
+    """Rows of the job's raw, prediction and bad-record tables, per belt."""
+    from ..streaming import job as J
+    from ..streaming import normalize as N
+    payloads = N.flagged(N.events_as_json(spark, sf), keep_value=True).select(F.col("belt_id").alias("key"), F.col("ingest_seq").alias("seq"), "value")
+    out = _stream_job(spark, payloads)
+    tables = [J.read_routed(spark, out, name).select(F.lit(name).alias("sink"), belt.alias("belt_id"))
+              for name, belt in ((J.RAW, F.coalesce("belt_id", F.lit(""))), (J.PREDICTIONS, F.col("belt_id")), (J.BAD, F.lit("")))]
+    rows = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    return rows.groupBy("sink", "belt_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# a pair of formulas in the place of forests, so that SQL can say what the stream must emit
+FORMULA = {"health": "100 - 45 * degradation_index", "rul": "2000 - 330 * failure_proximity", "features": ["degradation_index", "failure_proximity", "no_such_feature"]}
+
+
+def formula_store(spark, path):
+    """A model store that holds the pair of FORMULA."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    from . import model_store
+    pair = [PipelineModel([SQLTransformer(statement=f"SELECT *, {FORMULA[k]} + no_such_feature AS prediction FROM __THIS__")]) for k in ("health", "rul")]
+    model_store.save(*pair, path, FORMULA["features"], {}, target_transform="none")
+    return path
+
+
+def stream_model_alerts(spark, sf):
+    """What the job emits with a saved model, per belt and alert class."""
+    from ..sources.stream import replay_events
+    from ..streaming import job as J
+    r = readings(spark, sf)
+    payloads = replay_events(r, "belt_id", "ingest_seq").withColumnsRenamed({"belt_id": "key", "ingest_seq": "seq"})
+    store = formula_store(spark, f"{checkpoint_dir(spark)}/models/{uuid.uuid4().hex}")
+    a = J.read_routed(spark, _stream_job(spark, payloads, store), J.PREDICTIONS)
+    return a.groupBy("belt_id", "risk", "health_band", "rul_band", "confidence_level", "prediction_status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("early_failure_flag").alias("n_early"), q4(F.avg("failure_risk_score")).alias("failure_risk_score"),
+        F.round(F.avg("ml_health")).alias("ml_health"), F.round(F.avg("ml_rul_days")).alias("ml_rul_days"))
+
+
 def flagship(spark, sf):
     """Report per belt (safe mode): summary + operational risk + reasons +
     alert bands (bands classify the unrounded values; the emitted record
@@ -405,5 +459,7 @@ QUERIES = {
     "train_score": train_score,
     "streaming_run": streaming_run,
     "streaming_alert_counts": streaming_alert_counts,
+    "stream_routed": stream_routed,
+    "stream_model_alerts": stream_model_alerts,
     "flagship_report": flagship,
 }

@@ -6,10 +6,9 @@ Every reader returns the same long schema::
     min_value double, max_value double, std_deviation double, ingest_seq bigint
 
 `ingest_seq` stands in for "file order": Spark has no row order, so the
-keep-last dedup (AGG-1) needs an explicit sequence.  For files it is the
-input file name hash plus the line position inside a partition
-(monotonically_increasing_id); for Kafka it is the offset; for the
-driver's `events` table it is `event_id`.
+keep-last dedup (AGG-1) needs an explicit sequence.  For files it is one number
+made of the file's place by path, the split's first byte and the row; for topics
+it is partition and offset; for the driver's `events` table it is `event_id`.
 """
 
 from __future__ import annotations
@@ -79,16 +78,24 @@ def read_sensor_csv(spark: SparkSession, path: str, belt_id: str | None = None)
     raw = raw.where(~too_long | F.col("_corrupt").isNull())
     belt = F.col("belt_id") if "belt_id" in header else F.lit(belt_id or DEFAULT_BELT)
     cols = {c: (F.col(f"`{c}`") if c in header else F.lit(None)) for c in OPTIONAL_COLUMNS}
+    # arrival order: file by path, split by its first byte, then row; a partition's splits
+    # hold fewer rows than bytes, so the splits of a file cannot reach into each other
+    files = sorted(raw.inputFiles())
+    if len(files) >= 1 << 20:
+        raise ValueError("at most 2^20 files are read in one order of arrival")
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    ranks = spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), "path string, _file long").select(same("path").alias("_path"), "_file")
+    place = F.col("_block") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    raw = raw.select("*", same(F.col("_metadata.file_path")).alias("_path"), F.col("_metadata.file_block_start").alias("_block")) \
+        .withColumn("_place", place).join(ranks, "_path", "left")
+    rank = F.when(F.col("_file").isNull(), F.raise_error(F.concat(F.lit("unknown input file "), "_path")).cast("long")).otherwise(F.col("_file"))
     return raw.select(
         belt.cast("string").alias("belt_id"),
         F.col("sensorid").alias("sensorid"),
         to_utc_timestamp_lenient(F.col("`@timestamp`")).alias("ts"),
         to_double(F.col("avg_value")).alias("avg_value"),
         *[to_double(cols[c]).alias(c) for c in OPTIONAL_COLUMNS],
-        # arrival order: file by path, split by offset, then row; partitions alone
-        # follow the sizes of the files
-        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                 F.monotonically_increasing_id().alias("row")).alias("ingest_seq"),
+        (rank * F.lit(1 << 43) + F.col("_place")).alias("ingest_seq"),
     )
 
 

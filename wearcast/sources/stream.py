@@ -1,8 +1,10 @@
-"""Stream sources and sinks (SRC-4, SRC-5, SRC-8, SNK-2, SNK-3).
+"""Stream sources and records (SRC-4, SRC-5, SRC-8, SNK-2).
 
-Kafka is the production transport; the connector jar is not bundled here,
-so `read_events_stream` falls back to a JSON-lines file stream behind the
-same function (same `value`, `topic`, `seq` columns).
+Kafka is the production transport; the connector jar is not bundled here.
+`read_events_stream` reads it, or JSON-lines files whose payloads carry their
+arrival number; `topics.py` reads topic folders by (partition, offset), all with
+the same columns `value`, `topic`, `seq`.  The routed sinks are in
+`streaming/job.py`.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ def read_events_stream(spark: SparkSession, source: str, topics: list[str] | Non
     * Kafka (`bootstrap` given): value as string, arrival = (partition, offset),
       offsets live in the query checkpoint (no consumer-group commit).
     * Files: each line is one payload; the arrival key is the `seq` field of
-      the payload (replay jobs write it).
+      the payload (replay jobs write it), null where it is no number.
     """
     topics = topics or [RAW_TOPIC]
     if bootstrap:
@@ -37,7 +39,7 @@ def read_events_stream(spark: SparkSession, source: str, topics: list[str] | Non
         rs = rs.option("maxFilesPerTrigger", max_files)
     lines = rs.load(source)
     return lines.select(F.col("value"), F.lit(topics[0]).alias("topic"),
-                        F.get_json_object("value", "$.seq").cast("long").alias("seq"))
+                        F.get_json_object("value", "$.seq").try_cast("long").alias("seq"))
 
 
 def tag_pipeline(df: DataFrame) -> DataFrame:
@@ -48,25 +50,17 @@ def tag_pipeline(df: DataFrame) -> DataFrame:
     return df.withColumn("pipeline", tag)
 
 
-def route_batch(batch: DataFrame, epoch_id: int, base_path: str) -> None:
-    """SNK-3 (`foreachBatch`): one target table per pipeline tag.  Appends
-    are keyed by epoch directory so a replayed epoch overwrites itself."""
-    for name in PIPELINE_TAGS.values():
-        (batch.where(F.col("pipeline") == name).drop("pipeline")
-              .write.mode("overwrite").parquet(f"{base_path}/{name}/epoch={epoch_id}"))
-
-
 def kafka_records(df: DataFrame, key_col: str = "belt_id") -> DataFrame:
     """SNK-2: key = belt (default GLOBAL), value = JSON of the whole record."""
-    payload = [c for c in df.columns]
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("@timestamp")
     return df.select(F.coalesce(F.col(key_col), F.lit("GLOBAL")).cast("string").alias("key"),
-                     F.to_json(F.struct(*[F.col(c) for c in payload])).alias("value"))
+                     F.to_json(F.struct(*[time if c == "ts" else F.col(c) for c in df.columns])).alias("value"))
 
 
-def replay_events(readings: DataFrame) -> DataFrame:
+def replay_events(readings: DataFrame, *keep: str) -> DataFrame:
     """SRC-8: each stored reading becomes one input payload
     (`belt_id`, `sensorid`, `@timestamp`, `avg_value`, plus the arrival `seq`)."""
-    return readings.select(F.to_json(F.struct(
+    return readings.select(*keep, F.to_json(F.struct(
         F.col("belt_id"), F.col("sensorid"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("@timestamp"),
         F.col("avg_value"),

@@ -157,10 +157,12 @@ def enrich(df: DataFrame, th: Thresholds, extra: list[str] | None = None) -> Dat
 
 
 def stream_features(spark: SparkSession, sf: str, th: Thresholds | None = None) -> DataFrame:
-    th = th or Thresholds()
-    r = read_events_as_readings(spark, sf)
-    stats = reading_stats(r, th)
-    return stream_feature_columns(align(r, stats), th)
+    return features_of(read_events_as_readings(spark, sf), th or Thresholds())
+
+
+def features_of(readings: DataFrame, th: Thresholds) -> DataFrame:
+    """The stream features of any readings."""
+    return stream_feature_columns(align(readings, reading_stats(readings, th)), th)
 
 
 def stream_alerts(spark: SparkSession, sf: str, th: Thresholds | None = None) -> DataFrame:

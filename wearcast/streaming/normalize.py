@@ -32,11 +32,12 @@ def parse_payload(value: Column) -> Column:
     return F.from_json(value, MAP)
 
 
-def normalize(df: DataFrame, value_col: str = "value", fallback_ts: Column | None = None) -> DataFrame:
-    """PRJ-5/6: one normalised row per good event, bad events dropped.
+def flagged(df: DataFrame, value_col: str = "value", fallback_ts: Column | None = None, keep_value: bool = False) -> DataFrame:
+    """PRJ-5/6, STR-5: every event normalised, with `reason` why it is no reading (else null).
 
     Output: belt_id, sensorid, ts, avg_value, min_value, max_value,
-    std_deviation, variance, median (+ all input columns except the payload).
+    std_deviation, variance, median, reason (+ all input columns, the payload only
+    with `keep_value`).
     """
     m = parse_payload(F.col(value_col))
     belt_raw = F.when(~_has(m, "belt_id"), F.lit(DEFAULT_BELT)).when(m["belt_id"].isNull(), F.lit("None")) \
@@ -63,21 +64,31 @@ def normalize(df: DataFrame, value_col: str = "value", fallback_ts: Column | Non
         F.when(_has(m, "max_value"), mx).otherwise(avg_v + std_v).alias("_max"),
         F.when(_has(m, "variance"), var).otherwise(std_v * std_v).alias("_var"),
         F.when(_has(m, "median"), med).otherwise(avg_v).alias("_med"),
-        (F.col("_m").isNull() | avg_bad | std_bad | mn_bad | mx_bad | var_bad | med_bad).alias("_bad"),
+        F.when(F.col("_m").isNull(), F.lit("no JSON object"))
+         .when(avg_bad | std_bad | mn_bad | mx_bad | var_bad | med_bad, F.lit("a value is no number"))
+         .when(F.col("ingest_seq").isNull() if "ingest_seq" in df.columns else F.lit(False), F.lit("no arrival number")).alias("reason"),
     )
     if "_belt" in out.columns:
         out = out.drop("belt_id").withColumnRenamed("_belt", "belt_id")
-    good = out.where(~F.col("_bad"))
-    return good.select(
-        *[c for c in df.columns if c not in (value_col, "belt_id", "sensorid", "ts")],
+    return out.select(
+        *[c for c in df.columns if c not in ("belt_id", "sensorid", "ts") and (keep_value or c != value_col)],
         "belt_id", F.col("_sensor").alias("sensorid"), F.col("_ts").alias("ts"),
         F.col("_avg").alias("avg_value"), F.col("_min").alias("min_value"), F.col("_max").alias("max_value"),
-        F.col("_std").alias("std_deviation"), F.col("_var").alias("variance"), F.col("_med").alias("median"))
+        F.col("_std").alias("std_deviation"), F.col("_var").alias("variance"), F.col("_med").alias("median"), "reason")
+
+
+def good_only(seen: DataFrame) -> DataFrame:
+    return seen.where("reason is null").drop("reason")
+
+
+def normalize(df: DataFrame, value_col: str = "value", fallback_ts: Column | None = None) -> DataFrame:
+    """One normalised row per good event; bad ones are left out."""
+    return good_only(flagged(df, value_col, fallback_ts))
 
 
 def bad_records(df: DataFrame, value_col: str = "value") -> DataFrame:
-    """STR-5 side output: payloads that are not JSON objects."""
-    return df.where(parse_payload(F.col(value_col)).isNull())
+    """STR-5 side output: the payloads that are no readings, with the reason."""
+    return flagged(df, value_col, keep_value=True).where("reason is not null").select(*df.columns, "reason")
 
 
 def lenient_value(df: DataFrame, value_col: str = "value") -> DataFrame:
