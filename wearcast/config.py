@@ -8,8 +8,6 @@ listed in the config (never by the data).
 
 from __future__ import annotations
 
-import json
-import os
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -153,15 +151,6 @@ class Thresholds:
         t.quality_max_missing = float(dq.get("max_missing_ratio", t.quality_max_missing))
         return t
 
-    @classmethod
-    def load(cls, path: str | None) -> "Thresholds":
-        """Defaults where there is no file; a file that cannot be read or is no
-        JSON raises."""
-        if not path or not os.path.exists(path):
-            return cls()
-        with open(path, encoding="utf-8") as f:
-            return cls.from_dict(json.load(f))
-
 
 @dataclass(frozen=True)
 class BeltMeta:
@@ -193,10 +182,8 @@ def validate_belts(belts: list[BeltMeta]) -> None:
             raise ValueError(f"replace_date must be later than installation_date for {b.belt_id}")
 
 
-def belts_from_json(path: str) -> list[BeltMeta]:
-    """Read one metadata object or a list of them (`installation_date` or `install_date`)."""
-    with open(path, encoding="utf-8") as f:
-        raw = json.load(f)
+def belts_from(raw: Any) -> list[BeltMeta]:
+    """One metadata object or a list of them (`installation_date` or `install_date`)."""
     items = raw if isinstance(raw, list) else [raw]
     out = []
     for it in items:

@@ -168,7 +168,7 @@ def fit(train: DataFrame, feats: list[str], targets: list[str], params: dict, ke
                 mine, weight = b_[:, drawn], w_[drawn] * times[drawn]
                 for k in range(len(y_)):
                     got = grow(mine, y_[k, drawn], weight, np.random.default_rng([params["random_state"], tree, 1]),
-                               params["max_depth"], params["min_samples_split"], params["min_samples_leaf"], tried)
+                               params["max_depth"], params.get("min_samples_split", 2), params["min_samples_leaf"], tried)
                     cols = list(zip(*got, strict=True))
                     cut = [float(cuts_[f][c]) if f >= 0 else 0.0 for f, c in zip(cols[8], cols[9], strict=True)]
                     held = [[k] * len(got), [tree] * len(got), *cols[:9], cut]

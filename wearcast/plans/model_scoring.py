@@ -46,7 +46,9 @@ def score_table(df: DataFrame, models, th: Thresholds | None = None, ml_only: bo
     bad = numbers.groupBy(*KEYS).agg(F.max(gap).alias("_gap"))          # one row per belt
     judged = numbers.join(bad, KEYS)
     whole, broken = judged.where("not _gap").drop("_gap"), judged.where("_gap").drop("_gap")
-    first = health.transform(whole).withColumn("_row_std", row_std_of("features")) \
+    first = health.transform(whole)
+    # a pair without a scaler has no scaled vector to judge
+    first = first.withColumn("_row_std", row_std_of("features") if "features" in first.columns else lit(1.0)) \
         .withColumnRenamed("prediction", "ml_health_pred").drop("_raw", "features")
     both = rul.transform(first).withColumnRenamed("prediction", "ml_rul_pred").drop("_raw", "features")
     scored = score_with_predictions(both, th, ml_only, row_std=F.col("_row_std"), log_target=meta.get("target_transform") == "log1p")

@@ -442,6 +442,13 @@ SELECT belt_id, {q4('avg(final_health)')} AS final_health, {q4('avg(final_rul_da
        sum(CAST(confidence_level = 'HIGH' AS INTEGER)) AS n_high
 FROM scored GROUP BY belt_id""")
 
+    formulas = PSEUDO.replace("FROM sl)", "FROM featx)").replace("target_health", "(100 - 45 * degradation_index)").replace("target_rul_days", "(2000 - 330 * failure_proximity)")
+    out["batch_model_scores"] = with_ctes(*fc, formulas, body=f"""
+SELECT belt_id, {day()} AS day, prediction_status, count(*) AS n, {q4('avg(final_health)')} AS final_health,
+  {q4('avg(final_rul_days)')} AS final_rul_days, {q4('min(final_health)')} AS min_health, {q4('max(final_rul_days)')} AS max_rul,
+  {q4('max(anomaly_score)')} AS max_anomaly, CAST(sum(CAST(confidence_level = 'LOW' AS INTEGER)) AS BIGINT) AS n_low,
+  CAST(sum(early_failure_flag) AS BIGINT) AS n_early
+FROM scored GROUP BY ALL""")
     out["quality_gate"] = with_ctes(*fc, slice_cte(100), gate_cte("sl"), body=f"""
 SELECT belt_id, row_count, required_feature_count, {q4('missing_ratio')} AS missing_ratio, quality_ok FROM gate2""")
 

@@ -385,20 +385,31 @@ def stream_routed(spark, sf):
 
 
 # a pair of formulas in the place of forests, so that SQL can say what the stream must emit
-FORMULA = {"health": "100 - 45 * degradation_index", "rul": "2000 - 330 * failure_proximity", "features": ["degradation_index", "failure_proximity", "no_such_feature"]}
+FORMULA = {"health": "100 - 45 * degradation_index", "rul": "2000 - 330 * failure_proximity", "features": ["degradation_index", "failure_proximity"]}
 
 
-def formula_store(spark, path):
-    """A model store that holds the pair of FORMULA."""
+def formula_store(spark, path, lenient=True):
+    """A model store that holds the pair of FORMULA; `lenient` adds a feature that no table has."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import SQLTransformer
 
     from . import model_store
-    pair = [PipelineModel([SQLTransformer(statement=f"SELECT *, {FORMULA[k]} + no_such_feature AS prediction FROM __THIS__")]) for k in ("health", "rul")]
-    model_store.save(*pair, path, FORMULA["features"], {}, target_transform="none")
+    pair = [PipelineModel([SQLTransformer(statement=f"SELECT *, {FORMULA[k]}{' + no_such_feature' * lenient} AS prediction FROM __THIS__")]) for k in ("health", "rul")]
+    model_store.save(*pair, path, FORMULA["features"] + ["no_such_feature"] * lenient, {}, target_transform="none")
     return path
 
 
+def batch_model_scores(spark, sf):
+    """ML-11, ML-21: the whole feature table scored with a saved pair, per belt and day."""
+    from . import jobs
+    store = formula_store(spark, f"{checkpoint_dir(spark)}/models/{uuid.uuid4().hex}", lenient=False)
+    s = jobs.scored(features(spark, sf), store, TH)
+    return s.groupBy("belt_id", day_of(F.col("mi")).alias("day"), "prediction_status").agg(
+        F.count(F.lit(1)).alias("n"), q4(F.avg("final_health")).alias("final_health"), q4(F.avg("final_rul_days")).alias("final_rul_days"),
+        q4(F.min("final_health")).alias("min_health"), q4(F.max("final_rul_days")).alias("max_rul"), q4(F.max("anomaly_score")).alias("max_anomaly"),
+        F.sum((F.col("confidence_level") == "LOW").cast("int")).alias("n_low"), F.sum("early_failure_flag").alias("n_early"))
+
+
 def stream_model_alerts(spark, sf):
     """What the job emits with a saved model, per belt and alert class."""
     from ..sources.stream import replay_events
@@ -461,5 +472,6 @@ QUERIES = {
     "streaming_alert_counts": streaming_alert_counts,
     "stream_routed": stream_routed,
     "stream_model_alerts": stream_model_alerts,
+    "batch_model_scores": batch_model_scores,
     "flagship_report": flagship,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -42,14 +43,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (`spark.checkpoint.dir`).
 
-    On a cluster the setting is expected to point at shared storage.  Only
-    where it is unset a folder in the warehouse, which is shared too, stands in;
-    it is recorded in the session so every later call agrees.
+    In local mode, where it may be unset, a folder in the warehouse stands in; it
+    is recorded in the session so every later call agrees.  On a cluster that
+    folder could be any machine's own, so an unset setting raises.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     d = sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not d:
         d = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoint"
     sc.setCheckpointDir(d)
