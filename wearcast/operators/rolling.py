@@ -3,19 +3,21 @@
 Spark re-aggregates a sliding frame for every row (O(rows x window)) and a
 window partitioned only by the series key runs a whole series in one task.
 Here a window of `w` rows ending at row `m` is split at the block border
-(block = idx div w, position = idx mod w):
+(block = idx div w):
 
     window(m) = prefix of block b up to m  (+)  suffix of block b-1 from m-w+1
 
-Both parts are running aggregates (linear in Spark).  To avoid a join,
-every row is emitted twice: as itself into pair-group b (role 0) and, with
-only the value columns, into pair-group b+1 (role 1).  Within one
-pair-group the prefix is a running aggregate over role-0 rows in
-ascending order, the suffix a running aggregate over role-1 rows in
-descending order of (position - 1); evaluated at a role-0 row it covers
-exactly the previous block's rows inside the window (also when the series
-starts inside the previous block).  One exchange per window size, tasks
-hold at most 2*w rows of a key, and hot keys spread over many blocks.
+Both parts are running aggregates (linear in Spark): the prefix in ascending
+order, the suffix in descending order.  The suffix is evaluated at row m-w+1,
+so row m finds it w-1 rows back.
+
+All windows and lags of a table share one exchange on (keys, chunk): the rows
+at the end of a chunk, as many as the longest look-back, are copied into the
+next chunk.  The block sizes divide one another, so the blocks of every size
+are ordered by one sort: a window over the blocks of one size is partitioned
+by the numbers of the larger blocks and ordered by those of the smaller ones.
+Two sorts (descending, ascending) serve all sizes, no join is needed, and a
+window holds at most one chunk and its halo.
 
 Parts are merged with the pairwise (Chan et al.) update, so means,
 variances and co-moments stay numerically stable:
@@ -33,9 +35,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNB = Window.unboundedPreceding
+from .scan import with_halo
 
-ALL_STATS = ("n", "mean", "m2", "min", "max", "slope", "sum")
+UNB = Window.unboundedPreceding
+CHUNK = 4320  # rows of a series that one window sorts together, the halo not counted
 
 
 @dataclass(frozen=True)
@@ -45,90 +48,114 @@ class Spec:
     stats: tuple = ("n", "mean", "m2", "min", "max")
 
 
-def _part_aggs(y: Column, x: Column, role_is: Column, w, stats: tuple, tag: str, name: str):
-    # a non-finite reading counts as missing, else it would spoil every window over it
-    finite = y.isNotNull() & ~F.isnan(y.cast("double")) & (F.abs(y.cast("double")) < float("inf"))
-    yy = F.when(role_is & finite, y)
-    xx = F.when(role_is & finite, x)
-    out = {}
-    n = F.count(yy).over(w)
-    out["n"] = n
-    if {"mean", "m2", "slope"} & set(stats):
-        out["mean"] = F.avg(yy).over(w)
-    if {"m2"} & set(stats):
-        out["m2"] = F.var_pop(yy).over(w) * n
-    if "min" in stats:
-        out["min"] = F.min(yy).over(w)
-    if "max" in stats:
-        out["max"] = F.max(yy).over(w)
-    if "sum" in stats:
-        out["sum"] = F.sum(yy).over(w)
+def _running(spec: Spec, w) -> list[Column]:
+    """Running aggregates of one input column over the window `w`."""
+    y, x = F.col(f"_y_{spec.col}"), F.col(f"_x_{spec.col}")
+    stats, n = set(spec.stats), F.count(y).over(w)
+    out = {"n": n}
+    if stats & {"mean", "m2", "slope"}:
+        out["mean"] = F.avg(y).over(w)
+    if "m2" in stats:
+        out["m2"] = F.var_pop(y).over(w) * n
+    for name, agg in (("min", F.min), ("max", F.max), ("sum", F.sum)):
+        if name in stats:
+            out[name] = agg(y).over(w)
     if "slope" in stats:
-        out["mx"] = F.avg(xx).over(w)
-        out["c"] = F.covar_pop(xx, yy).over(w) * n
-    return {f"_{tag}_{name}_{k}": v for k, v in out.items()}
+        out["mx"] = F.avg(x).over(w)
+        out["c"] = F.covar_pop(x, y).over(w) * n
+    return [v.alias(f"{spec.name}_{k}") for k, v in out.items()]
+
+
+def _merged(spec: Spec, pre: str, suf: str) -> dict[str, Column]:
+    """Statistics of the window from its two parts, both structs of `_running`."""
+    a = lambda k: F.col(f"{pre}.{spec.name}_{k}")
+    b = lambda k: F.col(f"{suf}.{spec.name}_{k}")
+    na, nb = a("n"), F.coalesce(b("n"), F.lit(0))
+    n = na + nb
+    # a part without values has no mean; the other one then stands alone
+    both = lambda merge, k: F.when(nb == 0, a(k)).when(na == 0, b(k)).otherwise(merge)
+    ratio, d = nb.cast("double") / n, b("mean") - a("mean")
+    out = {"n": n}
+    if "mean" in spec.stats:
+        out["mean"] = both(a("mean") + d * ratio, "mean")
+    if "m2" in spec.stats:
+        out["m2"] = both(a("m2") + b("m2") + d * d * na * ratio, "m2")
+    if "min" in spec.stats:
+        out["min"] = F.least(a("min"), b("min"))
+    if "max" in spec.stats:
+        out["max"] = F.greatest(a("max"), b("max"))
+    if "sum" in spec.stats:
+        out["sum"] = both(a("sum") + b("sum"), "sum")
+    if "slope" in spec.stats:
+        c = both(a("c") + b("c") + (b("mx") - a("mx")) * d * na * ratio, "c")
+        nd = n.cast("double")
+        out["slope"] = F.when(n >= 2, c / (nd * (nd * nd - 1.0) / 12.0))
+    return {f"{spec.name}_{k}": v for k, v in out.items()}
+
+
+def rolling_windows(df: DataFrame, keys: list[str], idx: str, specs: dict[int, list[Spec]],
+                    lags: dict[str, tuple[str, int]] | None = None, chunk_size: int = CHUNK) -> DataFrame:
+    """Add `{name}_{stat}` columns for every window size `w` of `specs`: the
+    trailing window of `w` rows ending at each row of the gap-free integer index
+    `idx` (windows at the series start simply hold fewer rows; `{name}_n` is the
+    count of values), and `lags` columns, `name = value of col at idx - k`.
+
+    Every window size must divide the next larger one.  A null or non-finite
+    value counts as missing."""
+    lags = lags or {}
+    sizes = sorted(specs, reverse=True)
+    if any(a % b for a, b in zip(sizes, sizes[1:])):
+        raise ValueError(f"window sizes {sizes} do not divide one another")
+    back = max([w - 1 for w in sizes] + [k for _, k in lags.values()])
+    h = with_halo(df, idx, max(chunk_size, back), back)
+
+    types = dict(df.dtypes)
+    used = {s.col: False for group in specs.values() for s in group}
+    used.update({s.col: True for group in specs.values() for s in group if "slope" in s.stats})
+    masked = {}
+    for c, sloped in used.items():
+        y = F.col(c)
+        if types[c] in ("double", "float"):
+            y = F.when(~F.isnan(y) & (F.abs(y) < float("inf")), y)
+        masked[f"_y_{c}"] = y
+        if sloped:
+            masked[f"_x_{c}"] = F.when(y.isNotNull(), F.col(idx).cast("double"))
+    up = {f"_b{w}": F.floor(F.col(idx) / w).cast("long") for w in sizes}
+    down = {f"_d{w}": -F.floor(F.col(idx) / w).cast("long") for w in sizes}
+    h = h.repartition(*keys, "_chunk").withColumns({**masked, **up, **down, "_back": -F.col(idx)})
+
+    part = [*keys, "_chunk"]
+    ups, downs = [*up, idx], [*down, "_back"]
+    for i, w in enumerate(sizes, 1):
+        win = Window.partitionBy(*part, *downs[:i]).orderBy(*downs[i:]).rowsBetween(UNB, 0)
+        h = h.withColumn(f"_suf{w}", F.struct(*[c for s in specs[w] for c in _running(s, win)]))
+    for i, w in enumerate(sizes, 1):
+        win = Window.partitionBy(*part, *ups[:i]).orderBy(*ups[i:]).rowsBetween(UNB, 0)
+        h = h.withColumn(f"_pre{w}", F.struct(*[c for s in specs[w] for c in _running(s, win)]))
+
+    row = Window.partitionBy(*part).orderBy(*ups)
+    seen = row.rowsBetween(UNB, 0)
+    h = h.withColumns({
+        **{f"_lag{w}": F.lag(f"_suf{w}", w - 1).over(row) for w in sizes},
+        **{f"_head{w}": F.first(f"_suf{w}").over(seen) for w in sizes},
+        "_lo": F.first(idx).over(seen),
+        **{f"_at_{n}": F.lag(c, k).over(row) for n, (c, k) in lags.items()}})
+    pos = F.col(idx) - F.col("_lo")
+    # at the last row of a block the prefix is the whole window; where the series
+    # starts inside the block before, its suffix is that of the first row
+    h = h.withColumns({f"_suf{w}": F.when(F.col(idx) + 1 == (F.col(f"_b{w}") + 1) * w, F.lit(None))
+                       .when(pos >= w - 1, F.col(f"_lag{w}"))
+                       .when(F.floor(F.col("_lo") / w) < F.col(f"_b{w}"), F.col(f"_head{w}")) for w in sizes})
+    final = {n: F.when(pos >= k, F.col(f"_at_{n}")) for n, (_, k) in lags.items()}
+    for w in sizes:
+        for s in specs[w]:
+            final.update(_merged(s, f"_pre{w}", f"_suf{w}"))
+    return h.where(~F.col("_halo")).select(*df.columns, *[c.alias(n) for n, c in final.items()])
 
 
 def rolling_block(df: DataFrame, keys: list[str], idx: str, w: int, specs: list[Spec]) -> DataFrame:
-    """Add `{name}_{stat}` columns: trailing window of `w` rows ending at
-    each row of the gap-free integer index `idx` (windows at the series
-    start simply hold fewer rows; `{name}_n` is the row count)."""
-    b = F.floor(F.col(idx) / w).cast("long")
-    pos = (F.col(idx) - b * w).cast("long")
-    value_cols = sorted({s.col for s in specs})
-    # one scan of the input: every row becomes role 0 (itself) and role 1
-    # (its copy for the next block); the copy keeps only keys and values
-    role = F.explode(F.array(F.lit(0), F.lit(1))).alias("_role")
-    dup = df.select("*", role)
-    is0 = F.col("_role") == 0
-    keep = set(keys) | {idx} | set(value_cols)
-    both = dup.select(
-        *[F.col(c) if c in keep or c == "_role" else F.when(is0, F.col(c)).alias(c) for c in dup.columns],
-        (b + F.col("_role")).alias("_g"),
-        (pos - F.col("_role")).alias("_k"))
-
-    part = Window.partitionBy(*keys, "_g")
-    w_pre = part.orderBy(F.col("_k").asc(), F.col("_role").asc()).rowsBetween(UNB, 0)
-    w_suf = part.orderBy(F.col("_k").desc(), F.col("_role").desc()).rowsBetween(UNB, 0)
-    x = F.col(idx).cast("double")
-    cols = {}
-    for s in specs:
-        cols.update(_part_aggs(F.col(s.col), x, F.col("_role") == 0, w_pre, s.stats, "a", s.name))
-        cols.update(_part_aggs(F.col(s.col), x, F.col("_role") == 1, w_suf, s.stats, "b", s.name))
-    out = both.withColumns(cols).where(F.col("_role") == 0)
-
-    final = {}
-    tmp = []
-    for s in specs:
-        a = lambda k: F.col(f"_a_{s.name}_{k}")
-        bb = lambda k: F.col(f"_b_{s.name}_{k}")
-        na, nb = a("n"), F.coalesce(bb("n"), F.lit(0))
-        n = na + nb
-        has_b = nb > 0
-        ratio = nb.cast("double") / n
-        final[f"{s.name}_n"] = n
-        if "mean" in s.stats or "m2" in s.stats or "slope" in s.stats:
-            d = bb("mean") - a("mean")
-            mean = F.when(has_b, a("mean") + d * ratio).otherwise(a("mean"))
-            if "mean" in s.stats:
-                final[f"{s.name}_mean"] = mean
-        if "m2" in s.stats:
-            final[f"{s.name}_m2"] = F.when(
-                has_b, a("m2") + bb("m2") + d * d * na * ratio).otherwise(a("m2"))
-        if "min" in s.stats:
-            final[f"{s.name}_min"] = F.when(has_b, F.least(a("min"), bb("min"))).otherwise(a("min"))
-        if "max" in s.stats:
-            final[f"{s.name}_max"] = F.when(has_b, F.greatest(a("max"), bb("max"))).otherwise(a("max"))
-        if "sum" in s.stats:
-            final[f"{s.name}_sum"] = F.when(has_b, a("sum") + bb("sum")).otherwise(a("sum"))
-        if "slope" in s.stats:
-            dx = bb("mx") - a("mx")
-            c = F.when(has_b, a("c") + bb("c") + dx * d * na * ratio).otherwise(a("c"))
-            nd = n.cast("double")
-            sxx = nd * (nd * nd - 1.0) / 12.0
-            final[f"{s.name}_slope"] = F.when(n >= 2, c / sxx)
-        tmp += [c for c in cols if c.startswith(f"_a_{s.name}_") or c.startswith(f"_b_{s.name}_")]
-    return out.withColumns(final).drop(*tmp, "_g", "_k", "_role")
+    """`rolling_windows` for one window size."""
+    return rolling_windows(df, keys, idx, {w: specs})
 
 
 def std_from(n: Column, m2: Column, ddof: int) -> Column:

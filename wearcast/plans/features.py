@@ -14,8 +14,8 @@ from ..config import WINDOWS, BeltMeta, Thresholds, external_feature_name
 from ..functions import formulas as fx
 from ..operators.clean import clean_readings
 from ..operators.grid import DAY, minute_means, minute_ts, wide_grid
-from ..operators.rolling import Spec, rolling_block, std_from
-from ..operators.scan import forward_back_fill, lag_columns
+from ..operators.rolling import Spec, rolling_windows, std_from
+from ..operators.scan import forward_back_fill
 from ..session import materialize
 
 KEYS = ["belt_id"]
@@ -75,27 +75,16 @@ def rolling_features(wide: DataFrame, th: Thresholds) -> DataFrame:
     df = df.withColumns({"_warn_event": fx.flag(F.col("warning_count") > 0),
                          "_crit_event": fx.flag(F.col("critical_count") > 0)})
 
-    # Each window size is an independent pass over the narrow base (small
-    # plans, one exchange each); the narrow results meet in one chain of
-    # joins on (belt_id, mi) that all share the same hash partitioning.
-    base_cols = ["belt_id", "mi", "temp_avg", "elong_avg", "curr_avg", "_active", "high_load",
-                 "_warn_event", "_crit_event", "elong_delta"]
     df = df.withColumn("elong_delta", fx.elong_delta(F.col("elong_avg"), th))
-    base = df.select(*base_cols)
-    values = set(base_cols) - set(KEYS + ["mi"])
-    parts = []
-    for label, w in WINDOWS.items():
-        x = rolling_block(base, KEYS, "mi", w, window_specs(label)).drop(*values)
-        x = x.withColumns({f"{s}_{label}_std": F.coalesce(
-            std_from(F.col(f"{s}_{label}_n"), F.col(f"{s}_{label}_m2"), 1), F.lit(0.0)) for s in SENSORS})
-        parts.append(x)
-    lags = lag_columns(base, KEYS, "mi", {
+    # one exchange for all window sizes and lags
+    df = rolling_windows(df, KEYS, "mi", {w: window_specs(label) for label, w in WINDOWS.items()}, {
         "_elong_lag720": ("elong_avg", 720),
         "_delta_lag60": ("elong_delta", 60),
         "_elong_lag5": ("elong_avg", 5),
-    }).drop(*values)
-    for p in parts + [lags]:
-        df = df.join(p, KEYS + ["mi"], "left")
+    })
+    df = df.withColumns({f"{s}_{label}_std": F.coalesce(
+        std_from(F.col(f"{s}_{label}_n"), F.col(f"{s}_{label}_m2"), 1), F.lit(0.0))
+        for label in WINDOWS for s in SENSORS})
 
     z = F.lit(0.0)
     df = df.withColumns({

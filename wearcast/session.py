@@ -15,11 +15,8 @@ SESSION_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # the grid/feature tables are wide; keep codegen on for them
-    "spark.sql.codegen.maxFields": "400",
-    # deep column lineage (100+ feature columns) needs a larger thread stack
-    "spark.driver.extraJavaOptions": "-Xss32m",
-    "spark.executor.extraJavaOptions": "-Xss32m",
+    # plans of some hundred columns: do not look up the Python line of every expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 
 from ..config import CORE_SENSORS, SHORT, WINDOWS, Thresholds
 from ..functions import formulas as fx
-from ..operators.rolling import Spec, rolling_block, std_from
-from ..operators.scan import carry_prev_next, lag_columns, sequence_index
+from ..operators.rolling import Spec, rolling_windows, std_from
+from ..operators.scan import carry_prev_next, sequence_index
 from ..plans.features import scalar_features
 from ..plans.score import alert_bands
-from ..session import materialize
 from ..sources.readings import read_events_as_readings
 
 SEQ_CHUNK = 65536
@@ -37,36 +36,21 @@ def reading_stats(readings: DataFrame, th: Thresholds) -> DataFrame:
         "_active": fx.flag(F.col("v") >= fx.lit(th.idle_current)),
         "_high": fx.flag(F.col("v") >= fx.lit(th.high_load)),
     })
-    core = materialize(core)
     keys = ["belt_id", "sensorid"]
-    parts = []
-    for lbl, w in WINDOWS.items():
-        p = f"w{lbl}"
-        specs = [Spec(p, "v", ("n", "mean", "m2", "min", "max", "slope"))]
-        if lbl in ("1h", "6h"):
-            specs.append(Spec(f"act_{lbl}", "_active", ("n", "sum")))
-        if lbl == "6h":
-            specs.append(Spec("high_6h", "_high", ("n", "sum")))
-        x = rolling_block(core.select("belt_id", "sensorid", "ord", "v", "_active", "_high"), keys, "ord", w, specs)
-        x = x.withColumns({
-            f"{p}_std": F.when(F.col(f"{p}_n") > 1, std_from(F.col(f"{p}_n"), F.col(f"{p}_m2"), 0))
-                         .otherwise(F.lit(0.0)),
-            f"{p}_trend": F.when(F.col(f"{p}_n") >= 2, F.coalesce(F.col(f"{p}_slope"), F.lit(0.0)))
-                           .otherwise(F.lit(0.0)),
-        }).drop("v", "_active", "_high", f"{p}_m2", f"{p}_slope")
-        if lbl in ("1h", "6h"):
-            x = x.withColumn(f"util_{lbl}", F.col(f"act_{lbl}_sum") / F.col(f"act_{lbl}_n")) \
-                 .drop(f"act_{lbl}_sum", f"act_{lbl}_n")
-        if lbl == "6h":
-            x = x.withColumn("high_share_6h", F.col("high_6h_sum") / F.col("high_6h_n")).drop("high_6h_sum", "high_6h_n")
-        parts.append(x.drop(f"{p}_n"))
+    specs = {w: [Spec(f"w{lbl}", "v", ("n", "mean", "m2", "min", "max", "slope"))] for lbl, w in WINDOWS.items()}
+    specs[WINDOWS["1h"]].append(Spec("act_1h", "_active", ("n", "sum")))
+    specs[WINDOWS["6h"]] += [Spec("act_6h", "_active", ("n", "sum")), Spec("high_6h", "_high", ("n", "sum"))]
     # WIN-13: stream lags are one shorter than batch (arr[-k] is k-1 back)
-    lags = lag_columns(core.select("belt_id", "sensorid", "ord", "v"), keys, "ord",
-                       {"lag719": ("v", 719), "lag59": ("v", 59), "lag4": ("v", 4)}).drop("v")
-    out = core.drop("_active", "_high")
-    for p in parts + [lags]:
-        out = out.join(p, keys + ["ord"], "left")
-    return out
+    x = rolling_windows(core, keys, "ord", specs, {"lag719": ("v", 719), "lag59": ("v", 59), "lag4": ("v", 4)})
+    stats = {}
+    for lbl in WINDOWS:
+        p = f"w{lbl}"
+        stats[f"{p}_std"] = F.when(F.col(f"{p}_n") > 1, std_from(F.col(f"{p}_n"), F.col(f"{p}_m2"), 0)).otherwise(F.lit(0.0))
+        stats[f"{p}_trend"] = F.when(F.col(f"{p}_n") >= 2, F.coalesce(F.col(f"{p}_slope"), F.lit(0.0))).otherwise(F.lit(0.0))
+    for lbl in ("1h", "6h"):
+        stats[f"util_{lbl}"] = F.col(f"act_{lbl}_sum") / F.col(f"act_{lbl}_n")
+    stats["high_share_6h"] = F.col("high_6h_sum") / F.col("high_6h_n")
+    return x.withColumns(stats).select(*keys, "ingest_seq", "ts", *STAT_FIELDS)
 
 
 STAT_FIELDS = (["v", "ord"] + [f"w{lbl}_{s}" for lbl in WINDOWS for s in ("mean", "std", "min", "max", "trend")]
