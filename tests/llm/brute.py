@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import xxhash
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -98,13 +100,15 @@ def secrets(text):
 ANCHORS = set("the a of and to in is that der die und das ist zu den mit le la les de et des un que el los y en".split())
 
 
-def signatures(text):
+def signatures(text, gap=16, share=4):
     words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
     content, k, out = [w for w in words if w not in ANCHORS], 0, set()
-    for w in words:
-        if w not in ANCHORS:
+    for i, w in enumerate(words):
+        common = w in ANCHORS
+        if not common:
             k += 1
-        elif k + 2 <= len(content):
+        lonely = not common and not ANCHORS & set(words[max(0, i - gap):i]) and xxhash.xxh64_intdigest(w.encode(), 42) % share == 0
+        if (common or lonely) and k + 2 <= len(content):
             out.add((content[k], content[k + 1]))
     return out or ({tuple(words)} if words else set())
 

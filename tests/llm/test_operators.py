@@ -3,6 +3,7 @@ long, equal and near-equal texts, clashing columns, repeated rows and no rows.""
 
 import hashlib
 import math
+import random
 import re
 import string
 
@@ -157,6 +158,26 @@ def test_spotsigs_pairs(spark, docs, rows):
         assert {(r.a, r.b) for r in spotsigs.near_duplicates(sets, percent).collect()} == want
 
 
+def test_spotsigs_without_common_words(spark):
+    """One changed word in other scripts, code and lists moves only the signatures near it,
+    also where some common words stand among them."""
+    rnd = random.Random(8)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(6))
+    kinds = {"cyrillic": lambda i: word("абвгдежзиклмнопрст"), "code": lambda i: f"{word('abcdefgh')}_{i} = {word('xyzuvw')}[{i}];",
+             "list": lambda i: word("0123456789"), "mixed": lambda i: "the" if i % 41 == 40 else word("bcdfgh")}
+    rows = []
+    for n, (_, make) in enumerate(sorted(kinds.items())):
+        words = [make(i) for i in range(200)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join([*words[:90], make(0), *words[91:]]))]
+    sets = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", spotsigs.signatures(F.col("text")).alias("signature"))
+    size = {r.doc_id: len(r.signature) for r in sets.collect()}
+    assert size == {d: len(brute.signatures(t)) for d, t in rows} and min(size.values()) > 20
+    pair = sets.alias("x").join(sets.alias("y"), F.expr("y.doc_id = x.doc_id + 1 and x.doc_id % 2 = 0"))
+    for r in pair.select("x.doc_id", spotsigs.likeness(F.col("x.signature"), F.col("y.signature")).alias("likeness")).collect():
+        plain = [brute.signatures(rows[r.doc_id + i][1]) for i in (0, 1)]
+        assert r.likeness == pytest.approx(brute.jaccard(*plain)) and r.likeness > 0.8
+
+
 # ----------------------------------------------------------- 5, 8 tokens --
 def test_bpe_round_trip(docs, rows, odd, empty):
     ref = Tokenizer.from_file(WORD)

@@ -1,7 +1,11 @@
 """Document fingerprints: SpotSigs, DataFrame operations only.
 
 A signature is a chain of CHAIN content words behind a common-word anchor,
-further anchors skipped.  A text's fingerprint is the set of its signatures as
+further anchors skipped.  Where no common word stands among the GAP words before a
+content word (or since the start of the text), as in other languages, code and
+lists, the word is an anchor itself if its hash is divisible by SHARE; this depends
+on those words alone, so an edit moves only the signatures near it.  A text's
+fingerprint is the set of its signatures as
 sorted 32-bit hashes in hexadecimal, 8 digits each; two fingerprints are
 compared by Jaccard likeness.  A text with words but without signatures has
 its whole row of words as its one signature; without words the set is empty,
@@ -16,7 +20,7 @@ the shared signatures prune before the full sets are compared.
 `with_next` gives each document the text of the next one in descending doc_id,
 the first one to the last.  Rows go to ranges of doc_id of about RANGE_ROWS
 rows, one shuffle of the texts; the first text of each range is handed to the
-range before it.
+range before it.  Which range follows is found on range numbers alone.
 
 Null texts are empty.  Rows of equal doc_id follow by a hash of the text; rows
 without doc_id come last, by a hash of the text.  A single row is its own next
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 ANCHORS = ["the", "a", "of", "and", "to", "in", "is", "that", "der", "die", "und", "das", "ist", "zu", "den", "mit",
            "le", "la", "les", "de", "et", "des", "un", "que", "el", "los", "y", "en"]
 CHAIN = 2
+GAP, SHARE = 16, 4
 RANGE_ROWS, MAX_RANGES, NULL_RANGES = 2000, 65536, 64
 
 
@@ -43,7 +48,7 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
+def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN, gap: int = GAP, share: int = SHARE) -> Column:
     """Sorted distinct 32-bit signature hashes (long) of a text."""
     anchor = lambda w: w.isin(anchors)
     low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
@@ -52,10 +57,23 @@ def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -
     def of_words(words):
         # the j-th anchor, at place i, has i - j content words before it
         places = F.filter(F.transform(words, lambda w, i: F.when(anchor(w), i).otherwise(-1)), lambda i: i >= 0)
-        heads = F.array_distinct(F.transform(places, lambda i, j: i - j))
-        chains = _let(F.filter(words, lambda w: ~anchor(w)), lambda content: _let(F.size(content), lambda n: F.transform(
-            F.filter(heads, lambda k: k + chain <= n), lambda k: low(F.xxhash64(*[F.get(content, k + c) for c in range(chain)])))))
-        return _let(F.array_sort(F.array_distinct(chains)), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(low(F.xxhash64(words)))))
+        heads = F.transform(places, lambda i, j: i - j)
+
+        def of_content(content):
+            # the c-th content word, at place i, has content words alone right before it
+            # where the one min(c, gap) before it stands min(c, gap) places before i
+            far = lambda c: F.least(c, F.lit(gap))
+            alone = lambda x, c: F.get(content["i"], c - far(c)) == x["i"] - far(c)
+            first = lambda x, c: (c < gap) & (x["i"] != c)  # noqa: E731  (a common word stands before it)
+            own = F.transform(content, lambda x, c: F.when(
+                (F.pmod(F.xxhash64(x["w"]), F.lit(share)) == 0) & alone(x, c) & ~first(x, c), c + 1).otherwise(-1))
+            starts = F.array_distinct(F.concat(heads, F.filter(own, lambda k: k > 0)))
+            return _let(content["w"], lambda ws: _let(F.size(ws), lambda n: F.transform(
+                F.filter(starts, lambda k: k + chain <= n), lambda k: low(F.xxhash64(*[F.get(ws, k + c) for c in range(chain)])))))
+
+        placed = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~anchor(x["w"]))
+        return _let(F.array_sort(F.array_distinct(_let(placed, of_content))),
+                    lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(low(F.xxhash64(words)))))
 
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
     return _let(words, lambda ws: F.when(F.size(ws) > 0, of_words(ws)).otherwise(none))
@@ -120,9 +138,9 @@ def with_next(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     tops = keyed.groupBy("range").agg(F.max("doc_id").alias("top")).withColumnRenamed("range", "at")
     first = keyed.join(F.broadcast(tops), (F.col("range") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("top")))
     heads = first.groupBy("range").agg(F.max_by("text", F.xxhash64("text")).alias("head"))
-    down = Window.orderBy(F.col("range").desc())
-    handed = heads.select("range", F.coalesce(F.lead("head").over(down), F.first("head").over(
-        down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"))
+    down = Window.orderBy(F.col("at").desc())
+    follows = tops.select("at", F.coalesce(F.lead("at").over(down), F.max("at").over(Window.partitionBy())).alias("next_at"))
+    handed = follows.join(heads, F.col("next_at") == F.col("range")).select(F.col("at").alias("range"), "head")
     order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
     led = keyed.withColumn("next", F.lead("text").over(order))
     return led.join(handed, "range", "left").select("doc_id", "text", F.coalesce("next", "head").alias("next"))
