@@ -50,30 +50,28 @@ def _let(value: Column, body) -> Column:
 
 def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN, gap: int = GAP, share: int = SHARE) -> Column:
     """Sorted distinct 32-bit signature hashes (long) of a text."""
-    anchor = lambda w: w.isin(anchors)
     low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
     none = F.array().cast("array<bigint>")
 
+    def chains(ws, at, n):
+        # content word k, at place at[k], starts a chain where a common word stands right before it,
+        # or where the content word before it is an anchor of its own: at place i, with content
+        # words alone before it, the one min(c, gap) before stands min(c, gap) places before i
+        def alone(c):
+            far = F.least(c, F.lit(gap))
+            return (F.get(at, c - far) == F.get(at, c) - far) & ((c >= gap) | (F.get(at, c) == c))
+
+        def start(k):
+            behind = F.get(at, k) - F.when(k > 0, F.get(at, k - 1)).otherwise(-1) > 1
+            return behind | ((k > 0) & (F.pmod(F.xxhash64(F.get(ws, k - 1)), F.lit(share)) == 0) & alone(k - 1))
+        hashes = F.transform(ws, lambda w, k: F.when((k + chain <= n) & start(k), low(F.xxhash64(w, *[F.get(ws, k + c) for c in range(1, chain)]))))
+        return F.array_compact(hashes)
+
     def of_words(words):
-        # the j-th anchor, at place i, has i - j content words before it
-        places = F.filter(F.transform(words, lambda w, i: F.when(anchor(w), i).otherwise(-1)), lambda i: i >= 0)
-        heads = F.transform(places, lambda i, j: i - j)
-
-        def of_content(content):
-            # the c-th content word, at place i, has content words alone right before it
-            # where the one min(c, gap) before it stands min(c, gap) places before i
-            far = lambda c: F.least(c, F.lit(gap))
-            alone = lambda x, c: F.get(content["i"], c - far(c)) == x["i"] - far(c)
-            first = lambda x, c: (c < gap) & (x["i"] != c)  # noqa: E731  (a common word stands before it)
-            own = F.transform(content, lambda x, c: F.when(
-                (F.pmod(F.xxhash64(x["w"]), F.lit(share)) == 0) & alone(x, c) & ~first(x, c), c + 1).otherwise(-1))
-            starts = F.array_distinct(F.concat(heads, F.filter(own, lambda k: k > 0)))
-            return _let(content["w"], lambda ws: _let(F.size(ws), lambda n: F.transform(
-                F.filter(starts, lambda k: k + chain <= n), lambda k: low(F.xxhash64(*[F.get(ws, k + c) for c in range(chain)])))))
-
-        placed = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~anchor(x["w"]))
-        return _let(F.array_sort(F.array_distinct(_let(placed, of_content))),
-                    lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(low(F.xxhash64(words)))))
+        placed = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~x["w"].isin(anchors))
+        # a struct's field of an array is a copy of the array: taken once, not once a word
+        found = _let(placed, lambda content: _let(content["w"], lambda ws: _let(content["i"], lambda at: _let(F.size(ws), lambda n: chains(ws, at, n)))))
+        return _let(F.array_sort(F.array_distinct(found)), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(low(F.xxhash64(words)))))
 
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
     return _let(words, lambda ws: F.when(F.size(ws) > 0, of_words(ws)).otherwise(none))
