@@ -10,7 +10,7 @@ arithmetic the streaming query applies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CORE_SENSORS, SHORT, WINDOWS, Thresholds
@@ -72,9 +72,9 @@ def align(events: DataFrame, stats: DataFrame) -> DataFrame:
                     *[F.col(f"_p_{n}.v").alias(n[3:]) for n in names])
 
 
-def stream_feature_columns(a: DataFrame, th: Thresholds) -> DataFrame:
+def stream_feature_columns(a: DataFrame, th: Thresholds, keep: Column | None = None) -> DataFrame:
     """Stream dialect of the feature formulas on aligned stats (88 names,
-    internal spelling); rows before the readiness gate are dropped."""
+    internal spelling); rows before the readiness gate are dropped, but for those of `keep`."""
     z = F.lit(0.0)
     cols = {}
     for s in STAT_SENSORS:
@@ -85,7 +85,8 @@ def stream_feature_columns(a: DataFrame, th: Thresholds) -> DataFrame:
                 cols[f"{s}_{lbl}_{st}"] = F.col(f"{s}.w{lbl}_{st}")
     df = a.withColumns(cols)
     ready = (F.col("temp_cnt") >= READY) & (F.col("elong_cnt") >= READY) & (F.col("curr_cnt") >= READY)
-    df = df.where(F.coalesce(ready, F.lit(False)))
+    ready = F.coalesce(ready, F.lit(False))
+    df = df.where(ready if keep is None else ready | keep)
     curr, elong = F.col("curr_avg"), F.col("elong_avg")
     df = df.withColumns({
         "is_idle": fx.is_idle(curr, th), "high_load": fx.high_load(curr, th),

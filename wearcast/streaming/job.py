@@ -1,5 +1,5 @@
 """The streaming job: payloads in; raw, prediction and bad-record tables out
-(ML-16, SNK-2, SNK-3, STR-3..5, STR-8).
+(ML-16, SNK-2, SNK-3, STR-3..6, STR-8).
 
 One query reads the readings' topic and writes three tables per trigger with
 foreachBatch.  Each table has a folder per epoch, which a replayed epoch overwrites;
@@ -24,23 +24,32 @@ from ..plans import model_store
 from ..plans.model_scoring import score_stream
 from ..sources.stream import RAW_TOPIC, kafka_records
 from .batch_form import enrich, stream_feature_columns, stream_safe_mode
+from .event_time import LATE, EventTime, ordered_stats
 from .normalize import flagged, good_only
 from .query import STATE_SCHEMA, STATS_SCHEMA, make_update, stats_to_structs
 
 RAW, PREDICTIONS, BAD, LEDGER = "belt-raw-data", "belt-predictions", "belt-bad-records", "ledger"
 
 
-def records(events: DataFrame, th: Thresholds) -> DataFrame:
+def records(events: DataFrame, th: Thresholds, event_time: EventTime | None = None) -> DataFrame:
     """kind, belt_id, ingest_seq, value, reason, f: every payload as `raw`, those that are
     no readings also as `bad` with the reason, and the features of every event of a ready
-    belt as `features`."""
+    belt as `features`.  With `event_time` the events enter in the order of their times, and late ones are `bad` too."""
     mine = events.where(F.col("topic") == RAW_TOPIC).drop("topic") if "topic" in events.columns else events
     seen = flagged(mine.withColumnRenamed("seq", "ingest_seq"), keep_value=True)
-    stats = (good_only(seen).select("belt_id", "sensorid", "ingest_seq", "ts", "avg_value").groupBy("belt_id")
-             .applyInPandasWithState(make_update(th), STATS_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
-    feats = stream_feature_columns(stats_to_structs(stats), th)
-    packed = feats.select(F.lit("features").alias("kind"), "belt_id", "ingest_seq", F.lit(None).cast("string").alias("value"),
-                          F.lit(None).cast("string").alias("reason"), F.struct(*feats.columns).alias("f"))
+    good, null = good_only(seen), F.lit(None).cast("string")
+    if event_time is None:
+        stats = (good.select("belt_id", "sensorid", "ingest_seq", "ts", "avg_value").groupBy("belt_id")
+                 .applyInPandasWithState(make_update(th), STATS_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+        feats = stream_feature_columns(stats_to_structs(stats), th)
+        packed = feats.select(F.lit("features").alias("kind"), "belt_id", "ingest_seq", null.alias("value"), null.alias("reason"),
+                              F.struct(*feats.columns).alias("f"))
+    else:
+        feats = stream_feature_columns(stats_to_structs(ordered_stats(good, th, event_time), "late", "value"), th, keep=F.col("late"))
+        late = F.col("late")
+        packed = feats.select(F.when(late, "bad").otherwise("features").alias("kind"), "belt_id", "ingest_seq", "value",
+                              F.when(late, LATE).alias("reason"),
+                              F.when(~late, F.struct(*[c for c in feats.columns if c not in ("late", "value")])).alias("f"))
     none = F.lit(None).cast(packed.schema["f"].dataType).alias("f")
     plain = lambda kind: [F.lit(kind).alias("kind"), F.when(F.col("reason").isNull(), F.col("belt_id")).alias("belt_id"), "ingest_seq", "value", "reason", none]
     return seen.select(*plain("raw")).unionByName(seen.where("reason is not null").select(*plain("bad"))).unionByName(packed)
@@ -100,7 +109,9 @@ def read_routed(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}").join(done, "epoch", "left_semi").drop("epoch")
 
 
-def start(events: DataFrame, routes: Routes, checkpoint: str):
+def start(events: DataFrame, routes: Routes, checkpoint: str, event_time: EventTime | None = None):
     """Starts the job; `events` holds value, topic and seq."""
-    return (records(events, routes.th).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-            .foreachBatch(routes).start())
+    writer = records(events, routes.th, event_time).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    if event_time is not None and event_time.idle_s is not None:   # such a stream never rests
+        writer = writer.trigger(processingTime=f"{max(1, event_time.idle_s // 10)} seconds")
+    return writer.foreachBatch(routes).start()

@@ -34,6 +34,7 @@ STATS_SCHEMA = ", ".join(
 STATE_SCHEMA = "temp array<double>, elong array<double>, curr array<double>, total long"
 
 
+NAMES = {SHORT[s]: s for s in CORE_SENSORS}
 ROWS = 256  # windows that one numpy step holds
 
 
@@ -76,8 +77,25 @@ def window_table(history: np.ndarray, new: np.ndarray, idle: float, high: float)
     return out
 
 
+def window_rows(belt: str, held: dict, events: pd.DataFrame, keep: list[str], th: Thresholds):
+    """The rows of a belt's `events`, in the order in which they stand, as frames of bounded size: `keep` columns and
+    the statistics of all sensors, from the event on at which every sensor has READY values; and the new buffers."""
+    out = {c: events[c] for c in keep}
+    ready, buffers = np.ones(len(events), dtype=bool), {}
+    for s in STAT_SENSORS:
+        own = (events["sensorid"] == NAMES[s]).to_numpy()
+        history, new = np.array(held[s], dtype=float), events["avg_value"].to_numpy(dtype=float)[own]
+        table, row = window_table(history, new, th.idle_current, th.high_load), np.cumsum(own)
+        ready &= len(history) + row >= READY
+        out.update({f"{s}_{f}": table[f][row] for f in STAT_FIELDS})
+        buffers[s] = np.concatenate([history, new])[-MAXLEN:].tolist()
+    rows = pd.DataFrame(out)[ready]
+    rows.insert(0, "belt_id", belt)
+    rows = rows.replace({np.nan: None}) if rows[[c for c in rows if "_lag" in c]].isna().any(axis=None) else rows
+    return (rows.iloc[lo:lo + 4 * ROWS] for lo in range(0, len(rows), 4 * ROWS)), buffers
+
+
 def make_update(th: Thresholds):
-    names = {SHORT[s]: s for s in CORE_SENSORS}
     cols = [c.split()[0] for c in STATS_SCHEMA.split(", ")]
 
     def update(key, batches, state):
@@ -85,27 +103,16 @@ def make_update(th: Thresholds):
         total = state.get[3] if state.exists else 0
         # a belt's events of one trigger; the source bounds what a trigger takes
         events = pd.concat(list(batches), ignore_index=True).sort_values("ingest_seq", kind="stable", ignore_index=True)
-        out = {c: events[c] for c in ("sensorid", "ingest_seq", "ts")}
-        ready, buffers = np.ones(len(events), dtype=bool), []
-        for s in STAT_SENSORS:
-            own = (events["sensorid"] == names[s]).to_numpy()
-            history, new = np.array(held[s], dtype=float), events["avg_value"].to_numpy(dtype=float)[own]
-            table, row = window_table(history, new, th.idle_current, th.high_load), np.cumsum(own)
-            ready &= len(history) + row >= READY
-            out.update({f"{s}_{f}": table[f][row] for f in STAT_FIELDS})
-            buffers.append(np.concatenate([history, new])[-MAXLEN:].tolist())
-        state.update((*buffers, total + len(events)))
-        rows = pd.DataFrame(out)[ready]
-        rows.insert(0, "belt_id", key[0])
-        rows = rows.replace({np.nan: None}) if rows[[c for c in rows if "_lag" in c]].isna().any(axis=None) else rows
-        for lo in range(0, len(rows), 4 * ROWS):
-            yield rows.iloc[lo:lo + 4 * ROWS][cols]
+        frames, buffers = window_rows(key[0], held, events, ["sensorid", "ingest_seq", "ts"], th)
+        state.update((*[buffers[s] for s in STAT_SENSORS], total + len(events)))
+        for rows in frames:
+            yield rows[cols]
 
     return update
 
 
-def stats_to_structs(df: DataFrame) -> DataFrame:
-    return df.select("belt_id", "sensorid", "ingest_seq", "ts",
+def stats_to_structs(df: DataFrame, *extra: str) -> DataFrame:
+    return df.select(*extra, "belt_id", "sensorid", "ingest_seq", "ts",
                      *[F.struct(*[F.col(f"{s}_{f}").alias(f) for f in STAT_FIELDS]).alias(s) for s in STAT_SENSORS])
 
 
