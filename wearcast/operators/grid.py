@@ -2,9 +2,11 @@
 long -> wide pivot (AGG-2, WIN-9, AGG-3, JOI-4).
 
 The grid is built without a calendar join: every observed minute emits the
-minutes up to the next observed one (`explode(sequence(...))`), and the
+minutes up to the next observed one, and the
 value at each emitted minute is interpolated between the nearest non-null
 observations of that column (found with the chunked scan of `scan.py`).
+A gap explodes into days, which are dealt out by (series, day), and a day into its
+minutes; so neither an array nor a task grows with a gap.
 """
 
 from __future__ import annotations
@@ -82,7 +84,15 @@ def minute_grid(means: DataFrame, columns: tuple[str, ...] = ("avg_value", "min_
         is_first = F.col("mi") == F.col("_lo")
     start = F.when(is_first, F.col("_lo")).otherwise(F.col("mi"))
     end = F.coalesce(nxt_obs - step, F.col("_hi"))
-    g = scanned.withColumn("t", F.explode(F.sequence(start, end, F.lit(step).cast("long"))))
+    day, wide = F.col("_piece"), F.lit(step).cast("long")
+    # bins are multiples of `step`: the first and the last one of the day
+    lo = F.greatest(F.col("_from"), F.ceil(day * DAY / step).cast("long") * wide)
+    hi = F.least(F.col("_to"), F.floor((day * DAY + DAY - 1) / step).cast("long") * wide)
+    days = scanned.withColumns({"_from": start, "_to": end}).withColumn(
+        "_piece", F.explode(F.sequence(F.floor(F.col("_from") / DAY).cast("long"), F.floor(F.col("_to") / DAY).cast("long"))))
+    # a number of partitions of its own: these rows are few beside the minutes that come of them
+    n = int(means.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = days.repartition(n, *keys, "_piece").where(lo <= hi).withColumn("t", F.explode(F.sequence(lo, hi, wide)))
     out = [F.col("belt_id"), F.col("sensorid"), F.col("t").alias("mi")]
     for c in cols:
         out.append(_interp(F.col("t"), f"_p_{c}", f"_n_{c}").alias(c))
