@@ -690,6 +690,12 @@ SELECT belt_id, {risk} AS risk, {hband} AS health_band, {rband} AS rul_band, cou
   {q4('min(degradation_index)')} AS min_degradation, {q4('max(degradation_index)')} AS max_degradation,
   {q4('avg(failure_risk_score)')} AS failure_risk_score, {q4('avg(degradation_index)')} AS degradation_index
 FROM sfa GROUP BY ALL""")
+    out["stream_event_time"] = with_ctes(*ctes, body=f"""
+SELECT belt_id, {risk} AS risk, {hband} AS health_band, {rband} AS rul_band, count(*) AS n,
+  {q4('min(degradation_index)')} AS min_degradation, {q4('max(degradation_index)')} AS max_degradation,
+  {q4('avg(failure_risk_score)')} AS failure_risk_score, {q4('avg(degradation_index)')} AS degradation_index
+FROM sfa JOIN (SELECT belt_id, max(ts) - INTERVAL 6 HOUR AS until FROM readings GROUP BY belt_id) c USING (belt_id)
+WHERE sfa.ts <= c.until GROUP BY ALL""")
     out["stream_routed"] = f"""
 WITH n AS (
   SELECT CASE WHEN {k} >= 6 THEN 'belt-' || CAST(user_id % 4 AS VARCHAR) ELSE 'belt-1' END AS belt_id, {SENSOR_CASE} AS sensorid, event_id,
