@@ -34,10 +34,13 @@ NODE_ARROW = pa.schema([("target", pa.int32()), ("tree", pa.int32()), ("id", pa.
 
 
 def thresholds(train: DataFrame, feats: list[str]) -> list[np.ndarray]:
-    """Sorted distinct thresholds of each feature; a row is in bin k if it is above k of them."""
+    """Sorted distinct thresholds of each feature; a row is in bin k if it is above k of them.
+    They stand a little above the quantiles, which are values of rows: a value whose sums were
+    taken in another order (the stream's) falls on the same side."""
     cuts = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
     row = train.agg(*[F.percentile_approx(F.col(f).cast("double"), cuts, 10_000).alias(f) for f in feats]).first()
-    return [np.unique(np.array([v for v in (row[f] or []) if np.isfinite(v)], dtype=float)) for f in feats]
+    found = [np.unique(np.array([v for v in (row[f] or []) if np.isfinite(v)], dtype=float)) for f in feats]
+    return [v + 1e-9 * np.maximum(1.0, np.abs(v)) for v in found]
 
 
 def binned_sample(train: DataFrame, feats: list[str], targets: list[str], keys: list[str], cuts: list[np.ndarray], seed: int,
