@@ -7,17 +7,16 @@ Here a window of `w` rows ending at row `m` is split at the block border
 
     window(m) = prefix of block b up to m  (+)  suffix of block b-1 from m-w+1
 
-Both parts are running aggregates (linear in Spark): the prefix in ascending
-order, the suffix in descending order.  The suffix is evaluated at row m-w+1,
-so row m finds it w-1 rows back.
+Both parts are running aggregates, the prefix in ascending order, the suffix
+in descending order.  The suffix is evaluated at row m-w+1, so row m finds it
+w-1 rows back.
 
 All windows and lags of a table share one exchange on (keys, chunk): the rows
 at the end of a chunk, as many as the longest look-back, are copied into the
-next chunk.  The block sizes divide one another, so the blocks of every size
-are ordered by one sort: a window over the blocks of one size is partitioned
-by the numbers of the larger blocks and ordered by those of the smaller ones.
-Two sorts (descending, ascending) serve all sizes, no join is needed, and a
-window holds at most one chunk and its halo.
+next chunk.  Spark deals the chunks out and finds the lags; the statistics of
+a chunk are numpy arrays over its rows (`block_windows`), which step through
+the positions of a block for all blocks and columns at once, so the work per
+row does not depend on the window.  A group holds one chunk and its halo.
 
 Parts are merged with the pairwise (Chan et al.) update, so means,
 variances and co-moments stay numerically stable:
@@ -32,13 +31,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scan import with_halo
 
-UNB = Window.unboundedPreceding
-CHUNK = 4320  # rows of a series that one window sorts together, the halo not counted
+CHUNK = 20160  # rows of a series that one group holds, the halo not counted
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
 @dataclass(frozen=True)
@@ -48,49 +50,114 @@ class Spec:
     stats: tuple = ("n", "mean", "m2", "min", "max")
 
 
-def _running(spec: Spec, w) -> list[Column]:
-    """Running aggregates of one input column over the window `w`."""
-    y, x = F.col(f"_y_{spec.col}"), F.col(f"_x_{spec.col}")
-    stats, n = set(spec.stats), F.count(y).over(w)
-    out = {"n": n}
+def _running(y: np.ndarray, valid: np.ndarray, stats: set[str]) -> dict[str, np.ndarray]:
+    """Running aggregates along the first axis (the positions in a block)."""
+    out = {"n": np.cumsum(valid, axis=0, dtype=float)}
+    total = np.cumsum(y, axis=0)
+    if "sum" in stats:
+        out["sum"] = total
+    if "min" in stats:
+        out["min"] = np.minimum.accumulate(np.where(valid, y, np.inf), axis=0)
+    if "max" in stats:
+        out["max"] = np.maximum.accumulate(np.where(valid, y, -np.inf), axis=0)
     if stats & {"mean", "m2", "slope"}:
-        out["mean"] = F.avg(y).over(w)
+        seen = np.maximum(out["n"], 1.0)
+        out["mean"] = total / seen
+    if stats & {"m2", "slope"}:
+        sloped, held, here = "slope" in stats, valid.astype(float), y.shape[1:]
+        avg, m2, mx, c = (np.zeros(here) for _ in range(4))
+        for k in ("m2", "mx", "c")[:3 if sloped else 1]:
+            out[k] = np.empty(y.shape)
+        step = np.empty(here)
+        for i in range(len(y)):
+            d = (y[i] - avg) * held[i]
+            np.divide(d, seen[i], out=step)
+            avg += step
+            np.subtract(d, step, out=step)
+            m2 += d * step
+            out["m2"][i] = m2
+            if sloped:
+                dx = (i - mx) * held[i]
+                mx += dx / seen[i]
+                c += dx * (y[i] - avg)
+                out["mx"][i], out["c"][i] = mx, c
+    return out
+
+
+def block_windows(y: np.ndarray, valid: np.ndarray, w: int, stats: set[str], at: np.ndarray) -> dict[str, np.ndarray]:
+    """Statistics of the windows of `w` positions that end at the positions `at`, for every row of
+    y(columns, positions); the positions are a multiple of w.  Where a window has no valid value
+    n is 0 and the others are not defined."""
+    blocks = lambda a: a.reshape(len(a), -1, w).transpose(2, 0, 1)
+    y = blocks(np.where(valid, y, 0.0))
+    valid = blocks(valid)
+    columns = len(y[0])
+    flat = lambda a: a.transpose(1, 2, 0).reshape(columns, -1)
+    a = {k: flat(v)[:, at] for k, v in _running(np.ascontiguousarray(y), np.ascontiguousarray(valid), stats).items()}
+    back = at - (w - 1)
+    has = (back >= 0) & (back % w != 0)          # at the last position of a block the prefix is the whole window
+    back = np.where(has, back, 0)
+    b = {k: flat(v[::-1])[:, back] for k, v in _running(np.ascontiguousarray(y[::-1]), np.ascontiguousarray(valid[::-1]), stats).items()}
+    na, nb = a["n"], np.where(has, b["n"], 0.0)
+    n = na + nb
+    out, ratio = {"n": n}, nb / np.maximum(n, 1.0)
+    both = lambda merged, k: np.where(nb == 0, a[k], np.where(na == 0, b[k], merged))
+    if stats & {"mean", "m2", "slope"}:
+        d = b["mean"] - a["mean"]
+        out["mean"] = both(a["mean"] + d * ratio, "mean")
     if "m2" in stats:
-        out["m2"] = F.var_pop(y).over(w) * n
-    for name, agg in (("min", F.min), ("max", F.max), ("sum", F.sum)):
-        if name in stats:
-            out[name] = agg(y).over(w)
+        out["m2"] = both(a["m2"] + b["m2"] + d * d * na * ratio, "m2")
+    if "min" in stats:
+        out["min"] = np.where(nb == 0, a["min"], np.minimum(a["min"], b["min"]))
+    if "max" in stats:
+        out["max"] = np.where(nb == 0, a["max"], np.maximum(a["max"], b["max"]))
+    if "sum" in stats:
+        out["sum"] = both(a["sum"] + b["sum"], "sum")
     if "slope" in stats:
-        out["mx"] = F.avg(x).over(w)
-        out["c"] = F.covar_pop(x, y).over(w) * n
-    return [v.alias(f"{spec.name}_{k}") for k, v in out.items()]
-
-
-def _merged(spec: Spec, pre: str, suf: str) -> dict[str, Column]:
-    """Statistics of the window from its two parts, both structs of `_running`."""
-    a = lambda k: F.col(f"{pre}.{spec.name}_{k}")
-    b = lambda k: F.col(f"{suf}.{spec.name}_{k}")
-    na, nb = a("n"), F.coalesce(b("n"), F.lit(0))
-    n = na + nb
-    # a part without values has no mean; the other one then stands alone
-    both = lambda merge, k: F.when(nb == 0, a(k)).when(na == 0, b(k)).otherwise(merge)
-    ratio, d = nb.cast("double") / n, b("mean") - a("mean")
-    out = {"n": n}
-    if "mean" in spec.stats:
-        out["mean"] = both(a("mean") + d * ratio, "mean")
-    if "m2" in spec.stats:
-        out["m2"] = both(a("m2") + b("m2") + d * d * na * ratio, "m2")
-    if "min" in spec.stats:
-        out["min"] = F.least(a("min"), b("min"))
-    if "max" in spec.stats:
-        out["max"] = F.greatest(a("max"), b("max"))
-    if "sum" in spec.stats:
-        out["sum"] = both(a("sum") + b("sum"), "sum")
-    if "slope" in spec.stats:
-        c = both(a("c") + b("c") + (b("mx") - a("mx")) * d * na * ratio, "c")
-        nd = n.cast("double")
-        out["slope"] = F.when(n >= 2, c / (nd * (nd * nd - 1.0) / 12.0))
-    return {f"{spec.name}_{k}": v for k, v in out.items()}
+        # positions count from the prefix's block; the suffix was stepped through backwards from the end of the block before
+        dx = (-1.0 - b["mx"]) - a["mx"]
+        c = np.where(nb == 0, a["c"], np.where(na == 0, -b["c"], a["c"] - b["c"] + dx * d * na * ratio))
+        out["slope"] = c / np.where(n > 1, n * (n * n - 1.0) / 12.0, 1.0)
+    return out
+
+
+def _chunk_stats(idx: str, columns: list[str], specs: dict[int, list[Spec]], schema: T.StructType):
+    """The function that adds the statistics to the rows of one chunk."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    keep = [f.name for f in schema.fields][:len(columns)]
+    made = {f.name: to_arrow_type(f.dataType) for f in schema.fields[len(columns):]}
+    top = max(specs)
+    names = list(dict.fromkeys(s.col for group in specs.values() for s in group))
+
+    def update(table: pa.Table) -> pa.Table:
+        own = np.flatnonzero(~table.column("_halo").to_numpy())
+        if table.column(idx).null_count:                 # rows without a place are in no window
+            return pa.table({**{c: table.column(c) for c in keep}, **{n: pa.nulls(table.num_rows, t) for n, t in made.items()}})
+        place = table.column(idx).to_numpy().astype(np.int64)
+        lo = place.min() // top * top
+        size = (place.max() // top + 1) * top - lo
+        place = place - lo
+        at = place[own]
+        y, valid = np.zeros((len(names), size)), np.zeros((len(names), size), dtype=bool)
+        for i, c in enumerate(names):
+            v = table.column(c).cast(pa.float64()).to_numpy()           # null is NaN
+            y[i, place], valid[i, place] = v, np.isfinite(v)
+        out = {}
+        for w, group in specs.items():
+            for stats in dict.fromkeys(s.stats for s in group):          # columns with the same statistics in one step
+                same = [s for s in group if s.stats == stats]
+                of = [names.index(s.col) for s in same]
+                found = block_windows(y[of], valid[of], w, set(stats), at)
+                for k, s in enumerate(same):
+                    n = found["n"][k]
+                    for stat in s.stats:
+                        gone = np.zeros(len(n), dtype=bool) if stat == "n" else n < (2 if stat == "slope" else 1)
+                        v = np.where(gone, 0.0, found[stat][k])
+                        out[f"{s.name}_{stat}"] = pa.array(v, mask=gone)
+        rows = table.take(pa.array(own))
+        return pa.table({**{c: rows.column(c) for c in keep}, **{n: out[n].cast(t) for n, t in made.items()}})
+
+    return update
 
 
 def rolling_windows(df: DataFrame, keys: list[str], idx: str, specs: dict[int, list[Spec]],
@@ -101,56 +168,26 @@ def rolling_windows(df: DataFrame, keys: list[str], idx: str, specs: dict[int, l
     count of values), and `lags` columns, `name = value of col at idx - k`.
 
     Every window size must divide the next larger one.  A null or non-finite
-    value counts as missing."""
+    value counts as missing.  Rows whose index is null get null statistics."""
     lags = lags or {}
     sizes = sorted(specs, reverse=True)
     if any(a % b for a, b in zip(sizes, sizes[1:])):
         raise ValueError(f"window sizes {sizes} do not divide one another")
     back = max([w - 1 for w in sizes] + [k for _, k in lags.values()])
-    h = with_halo(df, idx, max(chunk_size, back), back)
-
-    types = dict(df.dtypes)
-    used = {s.col: False for group in specs.values() for s in group}
-    used.update({s.col: True for group in specs.values() for s in group if "slope" in s.stats})
-    masked = {}
-    for c, sloped in used.items():
-        y = F.col(c)
-        if types[c] in ("double", "float"):
-            y = F.when(~F.isnan(y) & (F.abs(y) < float("inf")), y)
-        masked[f"_y_{c}"] = y
-        if sloped:
-            masked[f"_x_{c}"] = F.when(y.isNotNull(), F.col(idx).cast("double"))
-    up = {f"_b{w}": F.floor(F.col(idx) / w).cast("long") for w in sizes}
-    down = {f"_d{w}": -F.floor(F.col(idx) / w).cast("long") for w in sizes}
-    h = h.repartition(*keys, "_chunk").withColumns({**masked, **up, **down, "_back": -F.col(idx)})
-
-    part = [*keys, "_chunk"]
-    ups, downs = [*up, idx], [*down, "_back"]
-    for i, w in enumerate(sizes, 1):
-        win = Window.partitionBy(*part, *downs[:i]).orderBy(*downs[i:]).rowsBetween(UNB, 0)
-        h = h.withColumn(f"_suf{w}", F.struct(*[c for s in specs[w] for c in _running(s, win)]))
-    for i, w in enumerate(sizes, 1):
-        win = Window.partitionBy(*part, *ups[:i]).orderBy(*ups[i:]).rowsBetween(UNB, 0)
-        h = h.withColumn(f"_pre{w}", F.struct(*[c for s in specs[w] for c in _running(s, win)]))
-
-    row = Window.partitionBy(*part).orderBy(*ups)
-    seen = row.rowsBetween(UNB, 0)
-    h = h.withColumns({
-        **{f"_lag{w}": F.lag(f"_suf{w}", w - 1).over(row) for w in sizes},
-        **{f"_head{w}": F.first(f"_suf{w}").over(seen) for w in sizes},
-        "_lo": F.first(idx).over(seen),
-        **{f"_at_{n}": F.lag(c, k).over(row) for n, (c, k) in lags.items()}})
-    pos = F.col(idx) - F.col("_lo")
-    # at the last row of a block the prefix is the whole window; where the series
-    # starts inside the block before, its suffix is that of the first row
-    h = h.withColumns({f"_suf{w}": F.when(F.col(idx) + 1 == (F.col(f"_b{w}") + 1) * w, F.lit(None))
-                       .when(pos >= w - 1, F.col(f"_lag{w}"))
-                       .when(F.floor(F.col("_lo") / w) < F.col(f"_b{w}"), F.col(f"_head{w}")) for w in sizes})
-    final = {n: F.when(pos >= k, F.col(f"_at_{n}")) for n, (_, k) in lags.items()}
+    h = with_halo(df, idx, max(chunk_size, back), back).repartition(*keys, "_chunk")
+    row = Window.partitionBy(*keys, "_chunk").orderBy(idx)
+    h = h.withColumns({n: F.when(F.lag(idx, k).over(row) == F.col(idx) - k, F.lag(c, k).over(row)) for n, (c, k) in lags.items()})
+
+    types, kept = dict(df.dtypes), [*df.columns, *lags]
+    made = []
     for w in sizes:
         for s in specs[w]:
-            final.update(_merged(s, f"_pre{w}", f"_suf{w}"))
-    return h.where(~F.col("_halo")).select(*df.columns, *[c.alias(n) for n, c in final.items()])
+            whole = types[s.col] in INTEGRAL
+            of = {"n": T.LongType(), "sum": T.LongType() if whole else T.DoubleType(),
+                  "min": df.schema[s.col].dataType, "max": df.schema[s.col].dataType}
+            made += [T.StructField(f"{s.name}_{k}", of.get(k, T.DoubleType())) for k in s.stats]
+    schema = T.StructType([*h.select(*kept).schema.fields, *made])
+    return h.groupBy("_chunk", *keys).applyInArrow(_chunk_stats(idx, kept, {w: specs[w] for w in sizes}, schema), schema)
 
 
 def rolling_block(df: DataFrame, keys: list[str], idx: str, w: int, specs: list[Spec]) -> DataFrame:

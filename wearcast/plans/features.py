@@ -7,7 +7,7 @@ Internal column names avoid `/` and `@` (`temp_6h_mean`, `ts`); use
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import WINDOWS, BeltMeta, Thresholds, external_feature_name
@@ -182,14 +182,14 @@ def finalize(df: DataFrame, fill: bool = True) -> DataFrame:
     return df.fillna(0.0, subset=num).fillna(0, subset=ints)
 
 
-def has_gaps(df: DataFrame) -> bool:
-    """Whether any numeric cell is null or not finite.  Where none is, SCA-21
-    changes nothing, so its fill pass is left out; one scan decides."""
+def any_gap(df: DataFrame) -> Column:
+    """Aggregate: whether any numeric cell is null or not finite.  Where none is, SCA-21
+    changes nothing, so its fill pass is left out."""
     gap = F.lit(False)
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
             gap = gap | F.col(f.name).isNull() | F.isnan(f.name) | (F.abs(F.col(f.name)) == float("inf"))
-    return not df.where(gap).isEmpty()
+    return F.max(gap)
 
 
 def build_features(readings: DataFrame, spark: SparkSession, th: Thresholds | None = None,
@@ -209,8 +209,9 @@ def build_features(readings: DataFrame, spark: SparkSession, th: Thresholds | No
     df = target_features(df, belts_table(spark, belts), th)
     if not fill:
         return finalize(df, False)
-    df = materialize(df)
-    return materialize(finalize(df)) if has_gaps(df) else finalize(df, False)
+    seen = Observation()                       # seen while the table is written, so it is not read again for it
+    df = materialize(df.observe(seen, any_gap(df).alias("gap")))
+    return materialize(finalize(df)) if seen.get["gap"] else finalize(df, False)
 
 
 FEATURE_ORDER_HEAD = ["belt_id", "ts", "mi"]
