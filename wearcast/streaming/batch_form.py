@@ -19,6 +19,7 @@ from ..operators.rolling import Spec, rolling_windows, std_from
 from ..operators.scan import carry_prev_next, sequence_index
 from ..plans.features import scalar_features
 from ..plans.score import alert_bands
+from ..session import materialize
 from ..sources.readings import read_events_as_readings
 
 SEQ_CHUNK = 65536
@@ -61,7 +62,8 @@ def align(events: DataFrame, stats: DataFrame) -> DataFrame:
     """JOI-3: each event (any sensor) sees the latest stats of every sensor."""
     ev = events.select("belt_id", "sensorid", "ingest_seq", "ts")
     st = stats.select("belt_id", "sensorid", "ingest_seq", F.struct(*STAT_FIELDS).alias("_s"))
-    joined = ev.join(st, ["belt_id", "sensorid", "ingest_seq"], "left")
+    # the carry reads the table twice: the statistics are made once
+    joined = materialize(ev.join(st, ["belt_id", "sensorid", "ingest_seq"], "left"), name="aligned")
     cols = {}
     for s in CORE_SENSORS:
         cols[f"_S_{SHORT[s]}"] = F.when(F.col("sensorid") == s, F.col("_s"))
