@@ -9,7 +9,7 @@ the same columns `value`, `topic`, `seq`.  The routed sinks are in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RAW_TOPIC = "belt-data"
@@ -67,6 +67,11 @@ def replay_events(readings: DataFrame, *keep: str) -> DataFrame:
         F.col("ingest_seq").alias("seq"))).alias("value"))
 
 
+def late_arrival(ts: Column, most_s: int) -> Column:
+    """Second of arrival of an event that comes up to `most_s` seconds late, by a hash of its time."""
+    return F.unix_seconds(ts) + F.pmod(F.xxhash64(ts), F.lit(most_s))
+
+
 def parse_replayed(df: DataFrame) -> DataFrame:
     schema = "sensorid string, `@timestamp` string, avg_value double, seq long"
     p = df.select(F.from_json("value", schema).alias("e")).select("e.*")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..operators.scan import sequence_index
+from ..session import materialize
 
 SEGMENT = re.compile(r"(\d{20})-(\d{20})\.jsonl$")
 SEGMENT_ROWS = 100_000
@@ -147,6 +148,7 @@ def append_topic(records: DataFrame, path: str, topic: str, order: str = "seq",
         start = F.when(F.col("_part") == p, F.lit(end)).otherwise(start)
     part = F.pmod(F.xxhash64(F.coalesce(F.col("key"), F.lit(""))), F.lit(partitions)).cast("int")
     placed = records.select(part.alias("_part"), F.col(order).cast("long").alias("_order"), "value").withColumn("_chunk", F.floor(F.col("_order") / 65536))
+    placed = materialize(placed, name="append")      # the ordinals read it three times; a payload is made once
     placed = sequence_index(placed, ["_part"], ["_order", "value"], "_chunk", "_at").select(
         "_part", "value", (F.col("_at") + start).alias("_at"), F.floor(F.col("_at") / rows).alias("_segment"))
 

@@ -39,7 +39,7 @@ def flagged(df: DataFrame, value_col: str = "value", fallback_ts: Column | None
     std_deviation, variance, median, reason (+ all input columns, the payload only
     with `keep_value`).
     """
-    m = parse_payload(F.col(value_col))
+    m = F.col("_m")
     belt_raw = F.when(~_has(m, "belt_id"), F.lit(DEFAULT_BELT)).when(m["belt_id"].isNull(), F.lit("None")) \
         .otherwise(F.trim(m["belt_id"]))
     belt = F.when(belt_raw == "", F.lit(DEFAULT_BELT)).otherwise(belt_raw)
@@ -56,7 +56,8 @@ def flagged(df: DataFrame, value_col: str = "value", fallback_ts: Column | None
     mx, mx_bad = _num(m, "max_value")
     var, var_bad = _num(m, "variance")
     med, med_bad = _num(m, "median")
-    out = df.withColumn("_m", m).select(
+    # a generator of one element: the optimizer copies no parse into the fields and filters above it
+    out = df.select("*", F.explode(F.array(parse_payload(F.col(value_col)))).alias("_m")).select(
         "*",
         belt.alias("belt_id") if "belt_id" not in df.columns else belt.alias("_belt"),
         sensor.alias("_sensor"), ts.alias("_ts"), avg_v.alias("_avg"), std_v.alias("_std"),
