@@ -67,8 +67,7 @@ def make_ordered_update(th: Thresholds, mode: EventTime):
         if len(ripe):
             ripe = ripe.sort_values(["us", "ingest_seq"], kind="stable", ignore_index=True).astype({"us": "int64", "ingest_seq": "int64"})
             passed, total = max(passed, int(ripe["us"].iloc[-1])), total + len(ripe)
-            chunks, buffers = window_rows(key[0], buffers, ripe, ["sensorid", "ingest_seq", "us"], th)
-            for rows in chunks:
+            for rows in window_rows(key[0], buffers, ripe, ["sensorid", "ingest_seq", "us"], th):
                 yield rows.assign(late=False, value=None)[cols]
         state.update((*[list(buffers[s]) for s in STAT_SENSORS], total, *[waiting[c].tolist() for c in HELD], clock, passed))
         if len(waiting) and mode.idle_s is not None:

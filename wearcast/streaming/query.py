@@ -4,14 +4,15 @@ buffers (`applyInPandasWithState`) -> stream features -> safe-mode score
 
 The stateful step is the only Python on executors: per belt and trigger it
 appends the events' values to the buffers of their sensors (at most 1440
-values) and computes the window statistics of all rows at once over history
-and new values, one row per event once every sensor has 30 values.  All formulas after it are the shared Column functions.
+values) and computes the window statistics over history and new values, a bounded
+piece of the events at a time, one row per event once every sensor has 30 values.  All formulas after it are the shared Column functions.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -19,13 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..config import CORE_SENSORS, SHORT, WINDOWS, Thresholds
+from ..config import CORE_SENSORS, DEFAULT_BELT, SHORT, WINDOWS, Thresholds
+from ..operators.rolling import block_windows
 from ..session import checkpoint_dir
-from ..sources.stream import RAW_TOPIC, read_events_stream
+from ..sources.stream import RAW_TOPIC, replay_events
+from ..sources.topics import append_topic, read_topics
 from .batch_form import READY, STAT_FIELDS, STAT_SENSORS, enrich, stream_feature_columns, stream_safe_mode
 from .normalize import normalize
 
 MAXLEN = 1440
+TRIGGER = 500_000  # payloads that one trigger takes of a replayed table
 
 _stat_types = {"v": "double", "ord": "long"}
 STATS_SCHEMA = ", ".join(
@@ -35,7 +39,8 @@ STATE_SCHEMA = "temp array<double>, elong array<double>, curr array<double>, tot
 
 
 NAMES = {SHORT[s]: s for s in CORE_SENSORS}
-ROWS = 256  # windows that one numpy step holds
+PIECE = 65_536  # events of a belt whose statistics are held at once
+FRAME = 8_192   # rows of a frame that the step gives out
 
 
 def window_table(history: np.ndarray, new: np.ndarray, idle: float, high: float) -> dict[str, np.ndarray]:
@@ -45,54 +50,51 @@ def window_table(history: np.ndarray, new: np.ndarray, idle: float, high: float)
     end = len(history) + np.arange(len(new) + 1)            # values seen at each row
     last = np.concatenate([np.full(MAXLEN, np.nan), seen])  # value `k` places back: last[end + MAXLEN - k]
     out = {"v": last[end + MAXLEN - 1], "ord": np.minimum(end, MAXLEN) - 1}
-    for lbl, w in WINDOWS.items():
-        stats = {k: np.full(len(end), np.nan) for k in ("mean", "std", "min", "max", "trend", "idle", "high")}
-        view = np.lib.stride_tricks.sliding_window_view(last[MAXLEN - w:], w)
-        x = np.arange(w, dtype=float)
-        for lo in range(0, len(end), ROWS):
-            at = np.arange(lo, min(lo + ROWS, len(end)))
-            at = at[end[at] > 0]
-            if not len(at):
-                continue
-            a = view[end[at]]
-            m = np.minimum(end[at], w).astype(float)
-            held = x[None, :] >= w - m[:, None]
-            mean = np.where(held, a, 0.0).sum(axis=1) / m
-            off = np.where(held, a - mean[:, None], 0.0)
-            xc = x[None, :] - (w - 1 - (m[:, None] - 1) / 2)
-            stats["mean"][at] = mean
-            stats["std"][at] = np.sqrt((off * off).sum(axis=1) / m)
-            stats["min"][at] = np.where(held, a, np.inf).min(axis=1)
-            stats["max"][at] = np.where(held, a, -np.inf).max(axis=1)
-            stats["trend"][at] = (xc * off).sum(axis=1) / np.where(m > 1, m * (m * m - 1) / 12, 1.0)
-            stats["idle"][at] = (held & (a >= idle)).sum(axis=1) / m
-            stats["high"][at] = (held & (a >= high)).sum(axis=1) / m
-        out.update({f"w{lbl}_{k}": stats[k] for k in ("mean", "std", "min", "max", "trend")})
-        if w == 60:
-            out["util_1h"] = stats["idle"]
-        elif w == 360:
-            out["util_6h"], out["high_share_6h"] = stats["idle"], stats["high"]
+    some = end > 0
+    held = np.arange(-(-max(len(seen), 1) // MAXLEN) * MAXLEN) < len(seen)
+    y = np.zeros((3, len(held)))
+    y[:, :len(seen)] = seen, seen >= idle, seen >= high
+    valid = np.broadcast_to(held, y.shape)
+
+    def rows(found: np.ndarray) -> np.ndarray:
+        filled = np.full(len(end), np.nan)
+        filled[some] = found
+        return filled
+
+    with np.errstate(invalid="ignore"):                     # a value that is not finite shows in its windows
+        for lbl, w in WINDOWS.items():
+            at = end[some] - 1
+            found = {k: v[0] for k, v in block_windows(y[:1], valid[:1], w, {"mean", "m2", "min", "max", "slope"}, at).items()}
+            found["std"], found["trend"] = np.sqrt(found["m2"] / found["n"]), found["slope"]
+            out.update({f"w{lbl}_{k}": rows(found[k]) for k in ("mean", "std", "min", "max", "trend")})
+            if w in (60, 360):
+                share = block_windows(y[1:], valid[1:], w, {"sum"}, at)
+                out[f"util_{lbl}"] = rows(share["sum"][0] / share["n"][0])
+                if w == 360:
+                    out["high_share_6h"] = rows(share["sum"][1] / share["n"][1])
     for name, back in (("lag719", 720), ("lag59", 60), ("lag4", 5)):
         out[name] = last[end + MAXLEN - back]
     return out
 
 
-def window_rows(belt: str, held: dict, events: pd.DataFrame, keep: list[str], th: Thresholds):
+def window_rows(belt: str, buffers: dict, events: pd.DataFrame, keep: list[str], th: Thresholds):
     """The rows of a belt's `events`, in the order in which they stand, as frames of bounded size: `keep` columns and
-    the statistics of all sensors, from the event on at which every sensor has READY values; and the new buffers."""
-    out = {c: events[c] for c in keep}
-    ready, buffers = np.ones(len(events), dtype=bool), {}
-    for s in STAT_SENSORS:
-        own = (events["sensorid"] == NAMES[s]).to_numpy()
-        history, new = np.array(held[s], dtype=float), events["avg_value"].to_numpy(dtype=float)[own]
-        table, row = window_table(history, new, th.idle_current, th.high_load), np.cumsum(own)
-        ready &= len(history) + row >= READY
-        out.update({f"{s}_{f}": table[f][row] for f in STAT_FIELDS})
-        buffers[s] = np.concatenate([history, new])[-MAXLEN:].tolist()
-    rows = pd.DataFrame(out)[ready]
-    rows.insert(0, "belt_id", belt)
-    rows = rows.replace({np.nan: None}) if rows[[c for c in rows if "_lag" in c]].isna().any(axis=None) else rows
-    return (rows.iloc[lo:lo + 4 * ROWS] for lo in range(0, len(rows), 4 * ROWS)), buffers
+    the statistics of all sensors, from the event on at which every sensor has READY values.  Moves `buffers` on."""
+    for start in range(0, len(events), PIECE):
+        piece = events.iloc[start:start + PIECE]
+        out = {c: piece[c].to_numpy() for c in keep}
+        ready = np.ones(len(piece), dtype=bool)
+        for s in STAT_SENSORS:
+            own = (piece["sensorid"] == NAMES[s]).to_numpy()
+            history, new = np.array(buffers[s], dtype=float), piece["avg_value"].to_numpy(dtype=float)[own]
+            table, row = window_table(history, new, th.idle_current, th.high_load), np.cumsum(own)
+            ready &= len(history) + row >= READY
+            out.update({f"{s}_{f}": table[f][row] for f in STAT_FIELDS})
+            buffers[s] = np.concatenate([history, new])[-MAXLEN:].tolist()
+        rows = pd.DataFrame(out)[ready]
+        rows.insert(0, "belt_id", belt)
+        for lo in range(0, len(rows), FRAME):
+            yield rows.iloc[lo:lo + FRAME]
 
 
 def make_update(th: Thresholds):
@@ -103,10 +105,9 @@ def make_update(th: Thresholds):
         total = state.get[3] if state.exists else 0
         # a belt's events of one trigger; the source bounds what a trigger takes
         events = pd.concat(list(batches), ignore_index=True).sort_values("ingest_seq", kind="stable", ignore_index=True)
-        frames, buffers = window_rows(key[0], held, events, ["sensorid", "ingest_seq", "ts"], th)
-        state.update((*[buffers[s] for s in STAT_SENSORS], total + len(events)))
-        for rows in frames:
+        for rows in window_rows(key[0], held, events, ["sensorid", "ingest_seq", "ts"], th):
             yield rows[cols]
+        state.update((*[list(held[s]) for s in STAT_SENSORS], total + len(events)))
 
     return update
 
@@ -138,17 +139,36 @@ def write_payload_files(readings: DataFrame, path: str) -> None:
         "avg_value", F.col("ingest_seq").alias("seq"))).alias("value")).write.mode("overwrite").text(path)
 
 
-def run_stream_over_events(spark: SparkSession, sf: str, th: Thresholds | None = None) -> DataFrame:
-    """Replay the events table into a file stream, run the streaming query to
-    completion (availableNow), and return the sink table."""
+@contextmanager
+def few_state_partitions(spark: SparkSession):
+    """A streaming query that starts in here has one state partition a core.  The engine's
+    default deals the belts to hundreds, each of which every trigger opens, commits and reports."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), max(8, spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_stream_over_events(spark: SparkSession, sf: str, th: Thresholds | None = None, max_offsets: int = TRIGGER) -> DataFrame:
+    """Replay the events table into a topic, run the streaming query over all of it,
+    `max_offsets` payloads a trigger, and return the sink table."""
     from ..sources.readings import read_events_as_readings
 
     th = th or Thresholds()
-    base = os.path.join(checkpoint_dir(spark), "stream-run", f"{os.path.basename(sf.rstrip('/'))}-{uuid.uuid4().hex}")
-    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ckpt"
-    write_payload_files(read_events_as_readings(spark, sf), src)
-    q = (build_stream(read_events_stream(spark, src), th)
-         .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    base = f"{checkpoint_dir(spark)}/stream-run/{os.path.basename(sf.rstrip('/'))}-{uuid.uuid4().hex}"
+    belt = F.coalesce(F.col("belt_id"), F.lit(DEFAULT_BELT))        # the normaliser's belt: its payloads keep their order
+    append_topic(replay_events(read_events_as_readings(spark, sf), belt.alias("key"), F.col("ingest_seq").alias("seq")), f"{base}/topics", RAW_TOPIC)
+    arrived = read_topics(spark, f"{base}/topics", [RAW_TOPIC], f"{base}/progress", max_offsets)
+    # the replayed payloads carry the arrival numbers of the table
+    numbered = arrived.withColumn("seq", F.get_json_object("value", "$.seq").try_cast("long"))
+    with few_state_partitions(spark):
+        q = (build_stream(numbered, th).writeStream.format("parquet").option("path", f"{base}/out")
+             .option("checkpointLocation", f"{base}/ckpt").outputMode("append").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.parquet(f"{base}/out")
