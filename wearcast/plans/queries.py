@@ -358,14 +358,15 @@ def streaming_alert_counts(spark, sf):
         q4(F.max("degradation_index")).alias("max_degradation"), q4(F.avg("failure_risk_score")).alias("failure_risk_score"), q4(F.avg("degradation_index")).alias("degradation_index"))
 
 
-def _stream_job(spark, payloads, store=None, max_offsets=200_000, event_time=None):
+def _stream_job(spark, payloads, store=None, max_offsets=None, event_time=None):
     """The whole streaming job over payloads(key, seq, value): topic folder in, tables out."""
     from ..sources.stream import RAW_TOPIC
     from ..sources.topics import append_topic, read_topics
     from ..streaming import job as J
+    from ..streaming.query import TRIGGER
     base = f"{checkpoint_dir(spark)}/stream-job/{uuid.uuid4().hex}"
     append_topic(payloads, f"{base}/topics", RAW_TOPIC)
-    events = read_topics(spark, f"{base}/topics", [RAW_TOPIC], f"{base}/progress", max_offsets)
+    events = read_topics(spark, f"{base}/topics", [RAW_TOPIC], f"{base}/progress", max_offsets or TRIGGER)
     q = J.start(events, J.Routes(f"{base}/out", TH, store), f"{base}/checkpoint", event_time)
     q.processAllAvailable()
     q.stop()
@@ -426,10 +427,10 @@ def stream_model_alerts(spark, sf):
 def stream_event_time(spark, sf):
     """STR-6: alerts of the job in event-time mode per belt and class; every event arrives up to 5 h 50 min late, the
     delay is 6 h, and a belt's events of its last 6 h still wait at the end."""
-    from ..sources.stream import replay_events
+    from ..sources.stream import late_arrival, replay_events
     from ..streaming import job as J
     from ..streaming.event_time import EventTime
-    arrival = F.unix_seconds("ts") + F.pmod(F.xxhash64("ts"), F.lit(21_000))
+    arrival = late_arrival(F.col("ts"), 21_000)
     payloads = replay_events(readings(spark, sf), F.col("belt_id").alias("key"), arrival.alias("seq"))
     a = J.read_routed(spark, _stream_job(spark, payloads, event_time=EventTime(delay_s=21_600)), J.PREDICTIONS)
     return a.groupBy("belt_id", "risk", "health_band", "rul_band").agg(

@@ -26,7 +26,7 @@ from ..sources.stream import RAW_TOPIC, kafka_records
 from .batch_form import enrich, stream_feature_columns, stream_safe_mode
 from .event_time import LATE, EventTime, ordered_stats
 from .normalize import flagged, good_only
-from .query import STATE_SCHEMA, STATS_SCHEMA, make_update, stats_to_structs
+from .query import STATE_SCHEMA, STATS_SCHEMA, few_state_partitions, make_update, stats_to_structs
 
 RAW, PREDICTIONS, BAD, LEDGER = "belt-raw-data", "belt-predictions", "belt-bad-records", "ledger"
 
@@ -51,8 +51,10 @@ def records(events: DataFrame, th: Thresholds, event_time: EventTime | None = No
                               F.when(late, LATE).alias("reason"),
                               F.when(~late, F.struct(*[c for c in feats.columns if c not in ("late", "value")])).alias("f"))
     none = F.lit(None).cast(packed.schema["f"].dataType).alias("f")
-    plain = lambda kind: [F.lit(kind).alias("kind"), F.when(F.col("reason").isNull(), F.col("belt_id")).alias("belt_id"), "ingest_seq", "value", "reason", none]
-    return seen.select(*plain("raw")).unionByName(seen.where("reason is not null").select(*plain("bad"))).unionByName(packed)
+    kinds = F.when(F.col("reason").isNull(), F.array(F.lit("raw"))).otherwise(F.array(F.lit("raw"), F.lit("bad")))
+    plain = seen.select(F.explode(kinds).alias("kind"), F.when(F.col("reason").isNull(), F.col("belt_id")).alias("belt_id"), "ingest_seq", "value",
+                        "reason", none)
+    return plain.unionByName(packed)
 
 
 @dataclass
@@ -114,4 +116,5 @@ def start(events: DataFrame, routes: Routes, checkpoint: str, event_time: EventT
     writer = records(events, routes.th, event_time).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     if event_time is not None and event_time.idle_s is not None:   # such a stream never rests
         writer = writer.trigger(processingTime=f"{max(1, event_time.idle_s // 10)} seconds")
-    return writer.foreachBatch(routes).start()
+    with few_state_partitions(events.sparkSession):
+        return writer.foreachBatch(routes).start()
