@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT_SLICE = 4 << 20  # bytes of text that one numpy step works on
+ARROW_BYTES = 2 * TEXT_SLICE  # of an Arrow batch, where a step bounds it; a row is not cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,23 @@ class Scratch:
             p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, most: int = ARROW_BYTES):
+    """For jobs run inside: Arrow batches of about `most` bytes go to Python.  A
+    batch is held some five times beside the heap and the worker (vectors, which
+    grow by doubling, and the buffer for the socket), and Spark's default is 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = TEXT_SLICE) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that `column` holds about `most` bytes in each;
     a longer single value stays whole."""

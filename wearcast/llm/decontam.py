@@ -5,7 +5,14 @@ stands for some MB of whole documents: its words are numbered through, and
 for each term (64-bit hash of the word) it holds the ascending positions at
 which the term stands.  Blocks are independent, so the index needs no shuffle
 and grows and recovers block by block; it is written once to the shared
-folder and serves any number of test sets.
+folder and serves any number of test sets.  A task holds a few blocks at a time,
+however many it writes or reads: the numbers of a block are packed as bytes (a list
+column costs its reader two more numbers an element), and row groups are closed at
+BLOCKS rows or ROW_GROUP bytes, looked at after each row (Parquet looks after 100 by
+default, then as many later as the rows so far let it guess, and one small block makes
+that guess wrong; Spark reads a row group of up to 4,096 rows at once).  Arrow batches hold ARROW_BYTES
+while the index is written and searched; what is found is written, so that no later
+step reads the index in larger ones.
 
 `search` looks for every window of the test set in every block: per block the
 terms of a window are ordered by their number of postings, the list of the
@@ -13,6 +20,7 @@ rarest gives the starts, and these are intersected with the offset-adjusted
 lists of the other terms.  slop = 0 finds exact phrases; slop = s finds windows
 whose terms each stand at most s words from their place beside the rarest, in
 the same document; the hit range is the window beside the rarest, cut to it.
+Windows are taken in runs of bounded numbers of windows and starts.
 
 The test set is read in parts of at most QUERY_BYTES (each part is checked
 against the bound before it goes to the executors); all parts meet all blocks.
@@ -37,14 +45,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, record, texts, utf8
+from .common import Scratch, arrow_batches, map_batches, record, texts, utf8
 
 WINDOW = 10
 QUERY_BYTES = 4 << 20
+ROW_GROUP = 16 << 20   # bytes of a row group of the index, compressed
+BLOCKS = 4             # rows of it at most, however well they compress
+WINDOWS = 1 << 16      # windows that are looked up at once
+STARTS = 1 << 20       # places that are compared at once; a window's places stay together
 _WORD = bytes(b if (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80) else 0x20 for b in range(256))
 
-INDEX = ("block long, doc_ids array<long>, doc_starts array<int>, terms array<long>, "
-         "term_ends array<int>, positions array<int>")
+# packed: doc_starts, term_ends and positions are 32-bit, terms 64-bit little-endian integers
+INDEX = "block long, doc_ids array<long>, doc_starts binary, terms binary, term_ends binary, positions binary"
+PACKED = {"doc_starts": "<i4", "terms": "<i8", "term_ends": "<i4", "positions": "<i4"}
 FOUND = "block long, row int, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
@@ -57,29 +70,31 @@ def term_hashes(flat: list[bytes]) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, scratch: Scratch, name: str = "index") -> DataFrame:
-    out = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32())),
-                     ("terms", pa.list_(pa.int64())), ("term_ends", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))])
+    out = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((name, pa.binary()) for name in PACKED)])
 
-    def one(values, kind):
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), pa.array(values, type=kind))
+    def packed(values, name):
+        return pa.array([np.asarray(values, dtype=PACKED[name]).tobytes()], type=pa.binary())
 
     def numbers():
         # unique over the table, which is written once: 2^30 blocks for each task
         return itertools.count(TaskContext.get().partitionId() << 30)
 
     def step(batch, numbers):
-        found = [words(t) for t in texts(batch)]
-        h = term_hashes([w for ws in found for w in ws])
+        found = [term_hashes(words(t)) for t in texts(batch)]     # the words of one text at a time
+        h = np.concatenate(found)
         order = np.argsort(h, kind="stable").astype(np.int32)
-        terms, firsts = np.unique(h[order], return_index=True)
-        ends = np.append(firsts[1:], len(h)) if len(h) else firsts
+        h = h[order]
+        ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)) if len(h) else np.zeros(0, dtype=np.int64)
         ids = batch.column("doc_id")
         return record(out, [next(numbers)], pa.ListArray.from_arrays(pa.array([0, len(ids)], type=pa.int32()), ids),
-                      one(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.int32()),
-                      one(terms, pa.int64()), one(ends.astype(np.int32), pa.int32()), one(order, pa.int32()))
+                      packed(np.cumsum([0, *map(len, found)]), "doc_starts"), packed(h[ends - 1], "terms"),
+                      packed(ends, "term_ends"), packed(order, "positions"))
 
     made = map_batches(utf8(docs), step, INDEX, start=numbers)
-    made.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(scratch.path(name))
+    with arrow_batches(docs.sparkSession):
+        made.write.option("compression", "zstd").option("parquet.enable.dictionary", "false") \
+            .option("parquet.block.size", ROW_GROUP).option("parquet.block.row.count.limit", BLOCKS) \
+            .option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 1).parquet(scratch.path(name))
     return docs.sparkSession.read.schema(INDEX).parquet(scratch.path(name))
 
 
@@ -114,16 +129,25 @@ class TestSet:
         there = terms[at] == self.vocabulary
         begin = np.where(there, np.where(at > 0, ends[at - 1], 0), 0).astype(np.int64)
         count = np.where(there, ends[at].astype(np.int64) - begin, 0)
-        used = self.terms >= 0
-        n = np.where(used, count[self.terms], np.iinfo(np.int64).max)
-        live = np.flatnonzero(n.min(axis=1) > 0) if len(n) else none
-        if not len(live):
-            return none, none, none
-        order = np.argsort(n[live], axis=1, kind="stable")           # rarest first
         # sorted (term, position) of the vocabulary's lists, for all windows at once
-        total = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        listed = positions[total].astype(np.int64) + (np.repeat(np.arange(len(count)), count) << 32)
         off = np.cumsum(count) - count
+        total = np.repeat(begin - off, count) + np.arange(count.sum())
+        listed = positions[total].astype(np.int64) + (np.repeat(np.arange(len(count)), count) << 32)
+        found = [(none, none, none)]
+        for low in range(0, len(self.terms), WINDOWS):
+            rows = self.terms[low:low + WINDOWS]
+            n = np.where(rows >= 0, count[rows], np.iinfo(np.int64).max)
+            least = n.min(axis=1)
+            live = np.flatnonzero(least > 0)
+            order = np.argsort(n[live], axis=1, kind="stable")       # rarest first
+            run = (np.cumsum(least[live]) - 1) // STARTS
+            for part in np.split(np.arange(len(live)), np.flatnonzero(run[1:] != run[:-1]) + 1):
+                if len(part):
+                    found.append(self._places(live[part] + low, order[part], count, off, listed, doc_starts, slop))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _places(self, live, order, count, off, listed, doc_starts, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What `find` returns, of the windows `live`."""
         first = order[:, 0]
         t = self.terms[live, first]
         win = np.repeat(live, count[t])
@@ -159,11 +183,10 @@ def search(index: DataFrame, tests: TestSet, slop: int = 0, all_rows: bool = Tru
         test = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda name: batch.column(name)[i].values  # noqa: E731, B023
-                doc_starts = get("doc_starts").to_numpy()
-                ids = get("doc_ids")
-                win, start, doc = test.find(get("terms").to_numpy(), get("term_ends").to_numpy(), get("positions").to_numpy(),
-                                            doc_starts, slop)
+                get = lambda name: np.frombuffer(batch.column(name)[i].as_buffer(), dtype=PACKED[name])  # noqa: E731, B023
+                doc_starts = get("doc_starts")
+                ids = batch.column("doc_ids")[i].values
+                win, start, doc = test.find(get("terms"), get("term_ends"), get("positions"), doc_starts, slop)
                 end = np.minimum(start + test.sizes[win], doc_starts[doc + 1])
                 start = np.maximum(start, doc_starts[doc])
                 by_doc: dict[int, tuple[list, list, set]] = {}
@@ -203,7 +226,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                        query_bytes: int = QUERY_BYTES, index: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_words, starts, ends, items) of every row of docs: maximal hit
     word ranges (end exclusive) and the items that have a window in the text."""
-    index = build_index(docs, Scratch(docs.sparkSession, "decontam")) if index is None else index
+    scratch = Scratch(docs.sparkSession, "decontam")
+    index = build_index(docs, scratch) if index is None else index
     found = None
     several = False
     for tests in test_sets(items, window, query_bytes):
@@ -223,7 +247,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                concat(acc, array(s))))""")
         found = found.withColumn("spans", merged).select(
             "doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
-    return found.select("doc_id", "n_words", "starts", "ends", "items")
+    with arrow_batches(docs.sparkSession):
+        return scratch.save(found.select("doc_id", "n_words", "starts", "ends", "items"), "found")
 
 
 def digest(found: DataFrame) -> DataFrame:
